@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 MULT = 0x9E3779B97F4A7C15 | 1
@@ -36,6 +37,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Stands for a null id while rows are dealt and compared: it comes after all others.
+NO_ID = (1 << 63) - 1
+
+
+def id_in(key: Column) -> Column:
+    return F.coalesce(key.cast("long"), F.lit(NO_ID))
+
+
+def id_out(key: Column) -> Column:
+    return F.when(key != NO_ID, key)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalising permutation of 64-bit hashes."""
     h = h ^ (h >> U64(33))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormspan.llm.common import MULT, U64, text_slices
+from stormspan.llm.common import MULT, U64, id_in, id_out, text_slices
 
 BITS = 15
 LENGTHS = (1, 2, 3)
@@ -211,7 +211,7 @@ def predictor(model, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 def identify(docs: DataFrame, learn: Column, bits: int = BITS, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, lang_pred, score of each row of docs. learn: the rows that may be learned from, as a condition on doc_id."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = docs.select(id_in(F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     langs, w, _ = fit(rows, learn, bits, max_train)
     model = docs.sparkSession.sparkContext.broadcast((langs, w))
-    return rows.select("doc_id", "text").mapInArrow(predictor(model, bits), "doc_id long, lang_pred string, score double")
+    return rows.select("doc_id", "text").mapInArrow(predictor(model, bits), "doc_id long, lang_pred string, score double").withColumn("doc_id", id_out(F.col("doc_id")))

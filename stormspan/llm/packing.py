@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormspan.llm.common import materialize, text_slices
+from stormspan.llm.common import id_in, id_out, materialize, text_slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -86,7 +86,7 @@ def cutter(path: str, capacity: int, end_id: int) -> Callable[[Iterator[pa.Recor
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cutter(tokenizer_path, capacity, end_id), PIECE)
+    return docs.select(id_in(F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cutter(tokenizer_path, capacity, end_id), PIECE)
 
 
 def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
@@ -156,4 +156,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out
+    return out.withColumn("doc_id", id_out(F.col("doc_id")))

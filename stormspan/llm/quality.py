@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormspan.llm.common import text_slices, words_of
+from stormspan.llm.common import id_in, id_out, text_slices, words_of
 from stormspan.llm.langid import segment_sums
 
 BITS = 16
@@ -185,7 +185,7 @@ def filterer(model, bits: int, least: float) -> Callable[[Iterator[pa.RecordBatc
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, length_col: str | None) -> list[Column]:
-    return [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.col(length_col) if length_col else F.lit(None)).cast("double").alias("length")]
+    return [id_in(F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text"), (F.col(length_col) if length_col else F.lit(None)).cast("double").alias("length")]
 
 
 def score(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", bits: int = BITS, max_train: int = MAX_TRAIN) -> DataFrame:
@@ -193,7 +193,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "q
     rows = docs.select(*_rows(docs, id_col, text_col, length_col))
     machine = fit(rows, labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label")), learn, bits, max_train=max_train)
     model = docs.sparkSession.sparkContext.broadcast(machine)
-    return rows.mapInArrow(scorer(model, bits), "doc_id long, score double")
+    return rows.mapInArrow(scorer(model, bits), "doc_id long, score double").withColumn("doc_id", id_out(F.col("doc_id")))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, learn: Column, least: float = 0.5, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", bits: int = BITS, max_train: int = MAX_TRAIN) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormspan.llm import decontam, langid, packing, quality, urls, warc
+from stormspan.llm import decontam, langid, neardup, packing, quality, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.85, words=3)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op9_pack(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     if tokenizer_path is None:
         import public_tokenizers
@@ -51,7 +56,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op5_language": op5_language, "op6_quality": op6_quality, "op7_decontaminate": op7_decontaminate, "op9_pack": op9_pack, "op10_warc": op10_warc}
+    return {"op1_url_filter": op1_url_filter, "op5_language": op5_language, "op6_quality": op6_quality, "op7_decontaminate": op7_decontaminate, "op8_near_duplicates": op8_near_duplicates, "op9_pack": op9_pack, "op10_warc": op10_warc}
 
 
 OP7_SQL = r"""
