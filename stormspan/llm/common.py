@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -15,7 +17,10 @@ MULT = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
 SLICE_BYTES = 2 << 20
 
-_powers: dict[str, np.ndarray] = {}
+
+def kept() -> dict:
+    """What a worker process keeps between tasks: code that comes with a job has new globals in each."""
+    return sys.modules.setdefault("_stormspan_kept", types.ModuleType("_stormspan_kept")).__dict__
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,8 +70,8 @@ def seeded(n: int, seed: int) -> np.ndarray:
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """MULT ** i (or MULT ** -i) modulo 2**64 for i < n; kept between calls up to a few million."""
-    key = "inverse" if inverse else "direct"
-    have = _powers.get(key)
+    key = "inverse powers" if inverse else "powers"
+    have = kept().get(key)
     if have is None or len(have) < n:
         size = max(n, SLICE_BYTES * 2)
         base = pow(MULT, -1, 1 << 64) if inverse else MULT
@@ -74,7 +79,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
         have[0] = 1
         np.multiply.accumulate(have, out=have)
         if size <= SLICE_BYTES * 8:
-            _powers[key] = have
+            kept()[key] = have
     return have[:n]
 
 

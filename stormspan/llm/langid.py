@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormspan.llm.common import MULT, U64, id_in, id_out, text_slices
+from stormspan.llm.common import MULT, U64, id_in, id_out, kept, text_slices
 
 BITS = 15
 LENGTHS = (1, 2, 3)
@@ -31,18 +31,15 @@ SCALE = 30.0
 MAX_TRAIN = 2000
 MAX_LANGS = 200
 
-_tables: dict[str, np.ndarray] = {}
-
-
 def tables() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: lower case (a space for what isn't a letter), and whether it is a letter."""
-    if not _tables:
+    if "letters" not in kept():
         points = [chr(i) for i in range(0x110000)]
         letter = np.fromiter((c.isalpha() for c in points), bool, len(points))
         lower = np.full(len(points), 32, np.uint32)
         lower[letter] = [ord(points[i].lower()[0]) for i in np.flatnonzero(letter)]
-        _tables.update(letter=letter, lower=lower)
-    return _tables["lower"], _tables["letter"]
+        kept()["letters"] = lower, letter
+    return kept()["letters"]
 
 
 def code_points(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

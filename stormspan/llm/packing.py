@@ -20,11 +20,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormspan.llm.common import id_in, id_out, materialize, text_slices
+from stormspan.llm.common import id_in, id_out, kept, materialize, text_slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -32,40 +33,71 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECE + ", sequence_id long, offset long, final boolean"
 ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
-_encoders: dict[str, Encoder] = {}
+#: How the tokenizer cuts text between white space (fixed values of its file), for letters up to U+024F.
+TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+PLAIN = regex.compile(r"[\x21-\x7E\u00C0-\u024F]+")
+
+
+class Kept(dict):
+    """Values computed on first use; forgotten together when there are too many."""
+
+    def __init__(self, make: Callable[[object], bytes], most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key: object) -> bytes:
+        value = self.make(key)
+        if len(key) <= 48:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
+        return value
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit numbers. The tokenizer never joins text across ASCII white space, so ids of words between it are kept and joined."""
+    """Ids as little-endian unsigned 32-bit numbers.
 
-    KEPT_WORDS, KEPT_BYTES = 200_000, 64
+    The tokenizer never joins text across ASCII white space, so the ids of words between it are joined; within a plain
+    word (none of its special tokens) it never joins across its own cuts, so the ids of these parts are joined too.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[bytes, bytes] = {}
+        self.parts = Kept(self.encode, 600_000)
+        self.words = Kept(self.word, 400_000)
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def word(self, raw: bytes) -> bytes:
+        text = raw.decode("utf-8", "replace")
+        if "<|" in text or not PLAIN.fullmatch(text):
+            return self.encode(text)
+        return b"".join(map(self.parts.__getitem__, TOKENS.findall(text.lower())))
+
+    def learn(self, words: set[bytes]) -> None:
+        """Encodes what isn't known of many words' parts at once."""
+        plain = [t for t in (w.decode("utf-8", "replace") for w in words if w not in self.words) if "<|" not in t and PLAIN.fullmatch(t)]
+        new = list({p for t in plain for p in TOKENS.findall(t.lower()) if p not in self.parts})
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, cut = np.array(found.ids, "<u4"), np.searchsorted(np.array(found.word_ids), np.arange(len(some) + 1))
+            if len(self.parts) + len(some) > self.parts.most:
+                self.parts.clear()
+            self.parts.update((p, ids[a:b].tobytes()) for p, a, b in zip(some, cut[:-1].tolist(), cut[1:].tolist(), strict=True) if len(p) <= 48)
 
     def ids(self, words: list[bytes]) -> bytes:
-        kept = self.kept
-        try:
-            return b"".join(map(kept.__getitem__, words))
-        except KeyError:
-            pass
-        new = list({w for w in words if w not in kept})
-        if len(kept) + len(new) > self.KEPT_WORDS:
-            kept.clear()
-            new = list(set(words))
-        own = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)), strict=True))
-        out = b"".join(own[w] if w in own else kept[w] for w in words)
-        kept.update((w, i) for w, i in own.items() if len(w) <= self.KEPT_BYTES)
-        return out
+        return b"".join(map(self.words.__getitem__, words))
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    key = f"encoder {path}"
+    if key not in kept():
+        kept()[key] = Encoder(path)
+    return kept()[key]
 
 
 def cutter(path: str, capacity: int, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -76,8 +108,10 @@ def cutter(path: str, capacity: int, end_id: int) -> Callable[[Iterator[pa.Recor
         enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for keys, raw, offsets in text_slices(batches, "doc_id", "text"):
             rows: list[tuple] = []
-            for key, a, b in zip(keys.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                ids = memoryview(enc.ids(raw[a:b].tobytes().split()) + end)
+            words = [raw[a:b].tobytes().split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            enc.learn(set().union(*words))
+            for key, own in zip(keys.tolist(), words, strict=True):
+                ids = memoryview(enc.ids(own) + end)
                 rows += [(key, k, s // 4, min(capacity, (len(ids) - s) // 4), zlib.crc32(ids[s : s + 4 * capacity])) for k, s in enumerate(range(0, len(ids), 4 * capacity))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW.types, strict=True)], schema=ARROW)
 
