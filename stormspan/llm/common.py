@@ -83,13 +83,14 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     return have[:n]
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], key: str, text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of whole documents of about `limit` bytes: keys, their UTF-8 bytes one after another, and offsets.
+def text_slices(batches: Iterator[pa.RecordBatch], key: str, text: str, limit: int = SLICE_BYTES, also: str | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of whole documents of about `limit` bytes: keys, their UTF-8 bytes one after another, offsets, and the column `also`.
 
     A null text has no bytes. Only a single document longer than the limit makes a larger run.
     """
     for batch in batches:
         keys = batch.column(key).to_numpy(zero_copy_only=False)
+        more = batch.column(also).to_numpy(zero_copy_only=False) if also else None
         col = batch.column(text)
         if col.null_count:
             col = col.fill_null("")
@@ -104,7 +105,8 @@ def text_slices(batches: Iterator[pa.RecordBatch], key: str, text: str, limit: i
         while at < len(keys):
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
             to = min(to, len(keys))
-            yield keys[at:to], raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+            found = keys[at:to], raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+            yield found if more is None else (*found, more[at:to])
             at = to
 
 
@@ -139,6 +141,17 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple
     return h, starts, ends, np.searchsorted(starts, offsets)
 
 
+def sliding_min(values: np.ndarray, n: int) -> np.ndarray:
+    """Minimum of each n consecutive values, by doubling."""
+    if len(values) < n:
+        return values[:0]
+    size = 1
+    while size * 2 <= n:
+        values = np.minimum(values[:-size], values[size:])
+        size *= 2
+    return np.minimum(values[: len(values) - (n - size)], values[n - size :]) if size < n else values
+
+
 def window_hashes(h: np.ndarray, n: int, seed: int) -> np.ndarray:
     """A hash of each n consecutive hashes."""
     if len(h) < n:

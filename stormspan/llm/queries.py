@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormspan.llm import decontam, langid, neardup, packing, quality, urls, warc
+from stormspan.llm import decontam, langid, neardup, packing, quality, substring, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def fold(n: int) -> Column:
     """crc32 of the doc_id as text modulo n."""
     return F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(n))
@@ -56,7 +61,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op5_language": op5_language, "op6_quality": op6_quality, "op7_decontaminate": op7_decontaminate, "op8_near_duplicates": op8_near_duplicates, "op9_pack": op9_pack, "op10_warc": op10_warc}
+    return {"op1_url_filter": op1_url_filter, "op2_substring_dedup": op2_substring_dedup, "op5_language": op5_language, "op6_quality": op6_quality, "op7_decontaminate": op7_decontaminate, "op8_near_duplicates": op8_near_duplicates, "op9_pack": op9_pack, "op10_warc": op10_warc}
 
 
 OP7_SQL = r"""
@@ -74,6 +79,17 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+p AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+m AS (SELECT s, min(doc_id) AS least FROM p GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, unnest(generate_series(i, i + 49)) AS k FROM p JOIN m USING (s) WHERE doc_id > least)),
+r AS (SELECT doc_id, list(k) AS ks FROM g GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ks), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(ks, []), i)), ' ')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
 OP10_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
@@ -84,4 +100,4 @@ FROM p LEFT JOIN f USING (payload_digest)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontaminate": OP7_SQL, "op10_warc": OP10_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op7_decontaminate": OP7_SQL, "op10_warc": OP10_SQL}
