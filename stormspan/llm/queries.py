@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormspan.llm import decontam, langid, neardup, packing, quality, substring, suffix, urls, warc
+from stormspan.llm import decontam, langid, neardup, neighbours, packing, quality, substring, suffix, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def fold(n: int) -> Column:
     """crc32 of the doc_id as text modulo n."""
     return F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(n))
@@ -66,7 +71,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op2_substring_dedup": op2_substring_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op5_language": op5_language, "op6_quality": op6_quality, "op7_decontaminate": op7_decontaminate, "op8_near_duplicates": op8_near_duplicates, "op9_pack": op9_pack, "op10_warc": op10_warc}
+    return {"op1_url_filter": op1_url_filter, "op2_substring_dedup": op2_substring_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op4_neighbours": op4_neighbours, "op5_language": op5_language, "op6_quality": op6_quality, "op7_decontaminate": op7_decontaminate, "op8_near_duplicates": op8_near_duplicates, "op9_pack": op9_pack, "op10_warc": op10_warc}
 
 
 OP7_SQL = r"""
