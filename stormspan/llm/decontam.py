@@ -107,9 +107,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
             raise ValueError("mode spans needs a benchmark of at most max_windows windows")
         bad = scan(docs, benchmark, id_col, text_col, max_windows).where("contaminated").select(F.col(id_col).alias("_bad"))
         return docs.join(bad, F.col(id_col) == F.col("_bad"), "left_anti")
-    marked = spans_in_row(docs, known, text_col).withColumn("_n_hit", covered("_spans"))
+    # The row number keeps the optimiser from writing the whole scan into the filter, once for each use of a column.
+    marked = spans_in_row(docs, known, text_col).withColumns({"_n_hit": covered("_spans"), "_row": F.monotonically_increasing_id()})
     bad = contaminated(F.col("_n_hit"), F.size("_words"))
     if mode == "documents":
-        return marked.where(~bad).select(*names)
+        return marked.where((F.col("_row") >= 0) & ~bad).select(*names)
     kept = F.expr("array_join(filter(_words, (w, i) -> NOT exists(_spans, s -> i + 1 >= s.pos AND i + 1 < s.pos + s.len)), ' ')")
     return marked.withColumn(text_col, F.when(F.col("_n_hit") > 0, kept).otherwise(F.col(text_col))).select(*names)

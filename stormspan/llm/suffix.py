@@ -332,8 +332,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mode: str = "
     return both.mapInArrow(finisher(length, False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumn("doc_id", id_out(F.col("doc_id")))
 
 
-def remove_copies(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with later copies cut out of their texts (whole characters only); all columns and rows stay."""
+def remove_copies(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """docs with later copies cut out of their texts (whole characters only); all columns and rows stay.
+
+    length_col: a column with the number of characters, which is set anew for texts that were cut.
+    """
     names = docs.columns
     own = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text = f"c{names.index(text_col)}"
@@ -343,4 +346,8 @@ def remove_copies(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_co
     both = rows.join(marks, ["doc_id", "tid"], "left").select(*others, "doc_id", "text", "marks", F.col("text").isNull().alias("was_null"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields if f.name != text)
     done = both.mapInArrow(finisher(length, True), f"{kinds}, was_null boolean, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return done.select(*[(F.when(~F.col("was_null"), F.col("kept").cast("string")) if c == text else F.col(c)).alias(n) for c, n in zip(own.columns, names, strict=True)])
+    done = done.withColumn(text, F.when(~F.col("was_null"), F.col("kept").cast("string")))
+    if length_col:
+        size = own.columns[names.index(length_col)]
+        done = done.withColumn(size, F.when(F.col("n_removed") > 0, F.char_length(text)).otherwise(F.col(size)).cast(own.schema[size].dataType))
+    return done.select(*[F.col(c).alias(n) for c, n in zip(own.columns, names, strict=True)])
