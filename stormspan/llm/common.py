@@ -42,6 +42,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns c0, c1, ..., so that no name of an input meets one of ours, and the new name of each old one."""
+    own = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return own, dict(zip(df.columns, own.columns, strict=True))
+
+
 #: Stands for a null id while rows are dealt and compared: it comes after all others.
 NO_ID = (1 << 63) - 1
 

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stormspan.llm.common import plain_names
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 N_WORDS = 13
@@ -101,16 +103,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode is {mode!r}; it can be documents or spans")
     known = carried(benchmark_windows(benchmark), max_windows)
-    names = docs.columns
+    names, (docs, own) = docs.columns, plain_names(docs)
+    id_col, text_col = own[id_col], own[text_col]
     if known is None:
         if mode == "spans":
             raise ValueError("mode spans needs a benchmark of at most max_windows windows")
         bad = scan(docs, benchmark, id_col, text_col, max_windows).where("contaminated").select(F.col(id_col).alias("_bad"))
-        return docs.join(bad, F.col(id_col) == F.col("_bad"), "left_anti")
+        return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti").toDF(*names)
     # The row number keeps the optimiser from writing the whole scan into the filter, once for each use of a column.
     marked = spans_in_row(docs, known, text_col).withColumns({"_n_hit": covered("_spans"), "_row": F.monotonically_increasing_id()})
     bad = contaminated(F.col("_n_hit"), F.size("_words"))
     if mode == "documents":
-        return marked.where((F.col("_row") >= 0) & ~bad).select(*names)
+        return marked.where((F.col("_row") >= 0) & ~bad).select(*docs.columns).toDF(*names)
     kept = F.expr("array_join(filter(_words, (w, i) -> NOT exists(_spans, s -> i + 1 >= s.pos AND i + 1 < s.pos + s.len)), ' ')")
-    return marked.withColumn(text_col, F.when(F.col("_n_hit") > 0, kept).otherwise(F.col(text_col))).select(*names)
+    return marked.withColumn(text_col, F.when(F.col("_n_hit") > 0, kept).otherwise(F.col(text_col))).select(*docs.columns).toDF(*names)

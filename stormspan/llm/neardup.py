@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormspan.llm.common import U64, id_in, id_out, longs, materialize, mix, seeded, text_slices, window_hashes, words_of
+from stormspan.llm.common import U64, id_in, id_out, longs, materialize, mix, plain_names, seeded, text_slices, window_hashes, words_of
 from stormspan.llm.components import components
 
 ROWS = 5
@@ -214,4 +214,5 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, row
 def keep_one(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
     """docs without near-duplicates: of each component the document with the smallest id stays."""
     gone = near_duplicates(docs, threshold, words, id_col=id_col, text_col=text_col, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    own, names = plain_names(docs)
+    return own.join(gone, F.col(names[id_col]) == F.col("_gone"), "left_anti").toDF(*docs.columns)

@@ -52,6 +52,8 @@ def changes(at: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def runs(doc: np.ndarray, tid: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of consecutive positions: doc, tid, first position, length."""
+    if not len(doc):
+        return doc, tid, pos, pos
     order = np.lexsort((pos, tid, doc))
     doc, tid, pos = doc[order], tid[order], pos[order]
     new = np.ones(len(doc), bool)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormspan.llm.common import materialize
+from stormspan.llm.common import materialize, plain_names
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host, start of the path, verdict)
@@ -131,4 +131,5 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, order: int = ORDER,
 def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES, order: int = ORDER, max_grams: int = MAX_GRAMS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """The rows of pages whose verdict is allow."""
     allowed = judge(pages, rules, order, max_grams, id_col, url_col).where("verdict = 'allow'").select(F.col(id_col).alias("_allowed")).distinct()
-    return pages.join(allowed, F.col(id_col) == F.col("_allowed"), "left_semi")
+    own, names = plain_names(pages)
+    return own.join(allowed, F.col(names[id_col]).eqNullSafe(F.col("_allowed")), "left_semi").toDF(*pages.columns)
