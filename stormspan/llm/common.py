@@ -23,6 +23,12 @@ def kept() -> dict:
     return sys.modules.setdefault("_stormspan_kept", types.ModuleType("_stormspan_kept")).__dict__
 
 
+def forget(prefix: str) -> None:
+    """Frees what a worker process has kept for another operator."""
+    for key in [k for k in kept() if k.startswith(prefix)]:
+        del kept()[key]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that the cluster names in spark.checkpoint.dir.
 
@@ -79,7 +85,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     key = "inverse powers" if inverse else "powers"
     have = kept().get(key)
     if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES * 2)
+        size = max(n, SLICE_BYTES * 9 // 8)
         base = pow(MULT, -1, 1 << 64) if inverse else MULT
         have = np.full(size, base, dtype=U64)
         have[0] = 1

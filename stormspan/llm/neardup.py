@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormspan.llm.common import U64, id_in, id_out, longs, materialize, mix, plain_names, seeded, text_slices, window_hashes, words_of
+from stormspan.llm.common import U64, forget, id_in, id_out, longs, materialize, mix, plain_names, seeded, text_slices, window_hashes, words_of
 from stormspan.llm.components import components
 
 ROWS = 5
@@ -65,6 +65,7 @@ def signature(own: np.ndarray, n: int) -> np.ndarray:
 
 def sketcher(words: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("encoder")
         salt = seeded(bands, 31)
         for keys, raw, offsets in text_slices(batches, "doc_id", "text"):
             ids, sizes, sums, keys_out = [], [], [], []

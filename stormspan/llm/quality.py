@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormspan.llm.common import id_in, id_out, text_slices, words_of
+from stormspan.llm.common import forget, id_in, id_out, text_slices, words_of
 from stormspan.llm.langid import segment_sums
 
 BITS = 16
@@ -166,6 +166,7 @@ def fit(rows: DataFrame, labels: DataFrame, learn: Column, bits: int = BITS, ran
 
 def scorer(model, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("encoder")
         for keys, raw, offsets, lengths in slices(batches):
             p = model.value.score(len(keys), *features(raw, offsets, lengths, bits))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(p, pa.float64())], ["doc_id", "score"])
@@ -175,6 +176,7 @@ def scorer(model, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 def filterer(model, bits: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("encoder")
         for batch in batches:
             good = [model.value.score(len(keys), *features(raw, offsets, lengths, bits)) >= least for keys, raw, offsets, lengths in slices(iter([batch]))]
             if good:

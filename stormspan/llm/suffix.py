@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormspan.llm.common import U64, id_in, id_out, longs, mix, powers, seeded, sliding_min, text_slices
+from stormspan.llm.common import U64, forget, id_in, id_out, longs, mix, powers, seeded, sliding_min, text_slices
 from stormspan.llm.sketch import sketch
 from stormspan.llm.substring import changes, marked, runs
 
@@ -40,7 +40,7 @@ LENGTH = 200
 GRAM = 48
 HOT = 200
 LONGEST_BLOCK = 512
-FLUSH_BYTES = 48 << 20
+FLUSH_BYTES = 20 << 20
 ROW = "anchor long, doc_id long, tid long, pos int, n int, repeated boolean, done boolean, own binary"
 NAMES = ["anchor", "doc_id", "tid", "pos", "n", "repeated", "done", "own"]
 
@@ -145,6 +145,7 @@ def emitter(model, length: int, gram: int, keep_first: bool) -> Callable[[Iterat
         return pa.RecordBatch.from_arrays([longs(mix(d.view(U64) ^ p.astype(U64))), longs(d), longs(t), pa.array(p, pa.int32()), pa.array(n, pa.int32()), pa.array(np.ones(len(d), bool)), pa.array(np.ones(len(d), bool)), pa.array([None] * len(d), pa.binary())], NAMES)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("encoder")
         held, size = [], 0
         for keys, raw, offsets, tids in text_slices(batches, "doc_id", "text", 1 << 20, also="tid"):
             at, least, _ = anchors(raw, offsets, length, gram)
@@ -261,7 +262,7 @@ def settle(rows: list[tuple], length: int, keep_first: bool) -> list[tuple[int,
     return out
 
 
-def grouper(length: int, keep_first: bool, most: int = 24 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def grouper(length: int, keep_first: bool, most: int = 12 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Reads blocks sorted by anchor, id and position; holds whole anchors of about `most` bytes."""
         held: list[tuple] = []
