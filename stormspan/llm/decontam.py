@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormspan.llm.common import plain_names
+from stormspan.llm.common import materialize, plain_names
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,8 +56,10 @@ def spans_in_row(docs: DataFrame, windows: list[tuple[str, int, int]], text_col:
     for length in sorted({x[1] for x in windows}):
         own = [x for x in windows if x[1] == length]
         hashes, texts = _hashes(sorted({x[2] for x in own})), ", ".join(_literal(x[0]) for x in own)
-        at = f"filter(sequence(1, greatest(size(_codes) - {length - 1}, 1)), i -> size(_codes) >= {length} AND xxhash64(slice(_codes, i, {length})) IN ({hashes}))"
-        found.append(f"filter(transform({at}, i -> struct(i AS pos, {length} AS len, array_join(slice(_words, i, {length}), ' ') AS win)), s -> s.win IN ({texts}))")
+        # single elements, since a slice of an array takes time in proportion to its start
+        codes, parts = (", ".join(f"get({c}, i + {k - 1})" for k in range(length)) for c in ("_codes", "_words"))
+        at = f"filter(sequence(1, greatest(size(_codes) - {length - 1}, 1)), i -> size(_codes) >= {length} AND xxhash64({codes}) IN ({hashes}))"
+        found.append(f"filter(transform({at}, i -> struct(i AS pos, {length} AS len, concat_ws(' ', {parts}) AS win)), s -> s.win IN ({texts}))")
     none = "cast(array() as array<struct<pos:int,len:int,win:string>>)"
     return docs.withColumn(out, F.expr(f"concat({', '.join(found)})" if len(found) > 1 else found[0] if found else none))
 
@@ -84,9 +86,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         flat = hit.select("_row", id_col, "n_words", "n_hit", F.explode_outer("_wins").alias("win")).join(F.broadcast(windows.select("win", "items")), "win", "left")
     else:
         lengths = [r[0] for r in windows.select("len").distinct().collect()]
-        coded = base.withColumn("_words", words("_text"))
-        every = F.concat(*[F.expr(f"transform(filter(sequence(1, greatest(size(_words) - {n - 1}, 1)), i -> size(_words) >= {n}), i -> struct(i AS pos, {n} AS len, array_join(slice(_words, i, {n}), ' ') AS win))") for n in sorted(lengths)])
-        flat = coded.select("_row", every.alias("_all")).select("_row", F.inline("_all")).join(windows, ["win", "len"])
+        coded = materialize(base.select("_row", id_col, words("_text").alias("_words")), "words")
+        spans = [f"transform(filter(sequence(1, greatest(size(_words) - {n - 1}, 1)), i -> size(_words) >= {n}), i -> struct(i AS pos, {n} AS len, concat_ws(' ', {', '.join(f'get(_words, i + {k - 1})' for k in range(n))}) AS win))" for n in sorted(lengths)]
+        every = F.expr(f"concat({', '.join(spans)})")
+        flat = materialize(coded.select("_row", every.alias("_all")).select("_row", F.inline("_all")).join(windows, ["win", "len"]), "hits")
         flat = flat.groupBy("_row").agg(F.collect_set(F.struct("pos", "len")).alias("_spans"), F.collect_set("items").alias("_items"))
         flat = coded.select("_row", id_col, F.size("_words").alias("n_words")).join(flat, "_row", "left")
         flat = flat.select("_row", id_col, "n_words", F.when(F.col("_spans").isNull(), 0).otherwise(covered("_spans")).alias("n_hit"), F.explode_outer(F.flatten("_items")).alias("item")).withColumn("items", F.when(F.col("item").isNotNull(), F.array("item")))
