@@ -19,10 +19,9 @@ from stormspan.functions.calendar import normal_label, season_months
 SERIES = "ensemble string, region string, variable string, idx int, yyyymmdd string, year int, month int, value double"
 
 
-def read_series(spark: SparkSession, path: str, ensembles: Sequence[str] | None = None, regions: Sequence[str] | None = None, season: tuple[int, int] | None = None) -> DataFrame:
-    """Series from Parquet; members, regions and months are filtered in the scan. Member names stay strings."""
-    out = spark.read.parquet(path)
-    out = out.withColumns({c: F.col(c).cast("string") for c in ("ensemble", "region")})
+def read_series(spark: SparkSession, path: str, ensembles: Sequence[str] | None = None, regions: Sequence[str] | None = None, season: tuple[int, int] | None = None, schema: str = SERIES) -> DataFrame:
+    """Series from Parquet; members, regions and months are filtered in the scan. The schema is given, so that names of folders such as 0000 stay strings."""
+    out = spark.read.schema(schema).parquet(path)
     for column, wanted in (("ensemble", ensembles), ("region", regions)):
         if wanted:
             out = out.where(F.col(column).isin(*wanted))
