@@ -272,7 +272,7 @@ def test_neighbours(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(size=6)], 0, 1) for i in range(500)]
     same = rows[7][1]
-    rows += [(1000 + i, same, 0, 1) for i in range(60)] + [(2000, None, 0, 1), (2020, [0.0] * 6, 0, 1), (2040, [float("nan")] * 6, 0, 1), (2060, [1.0, None, 1, 1, 1, 1], 0, 1), (2080, [1.0], 0, 1), (None, same, 0, 1), (20, rows[20][1], 0, 1), (2100, [float("inf")] * 6, 0, 1)]
+    rows += [(1000 + i, same, 0, 1) for i in range(60)] + [(2000, None, 0, 1), (2020, [0.0] * 6, 0, 1), (2040, [float("nan")] * 6, 0, 1), (2060, [1.0, None, 1.0, 1.0, 1.0, 1.0], 0, 1), (2080, [1.0], 0, 1), (None, same, 0, 1), (20, rows[20][1], 0, 1), (2100, [float("inf")] * 6, 0, 1)]
     vectors = spark.createDataFrame(rows, VECTORS).repartition(3)
     got = {}
     for r in neighbours.search(vectors, vectors.where("vec_id % 20 = 0"), k=20, block=64).collect():
