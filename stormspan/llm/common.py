@@ -48,6 +48,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Carried:
+    """A broadcast object of this package.
+
+    Broadcasts name their classes instead of holding them, and a worker need not have this package installed. So only the
+    object's attributes, which must be plain data, are broadcast; its class comes with the code of the job.
+    """
+
+    def __init__(self, spark: SparkSession, thing: object):
+        self.kind, self.data = type(thing), spark.sparkContext.broadcast(vars(thing))
+
+    @property
+    def value(self) -> object:
+        out = object.__new__(self.kind)
+        out.__dict__ = self.data.value
+        return out
+
+
 def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """df with columns c0, c1, ..., so that no name of an input meets one of ours, and the new name of each old one."""
     own = df.toDF(*[f"c{i}" for i in range(len(df.columns))])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stormspan.llm.common import materialize
+from stormspan.llm.common import Carried, materialize
 
 M = 8
 SURE = 0.95
@@ -151,7 +151,7 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 def placer(model, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        projection, top = model.value
+        projection, top = (m.value for m in model)
         for batch in batches:
             x = matrix(batch.column("vec"), dim)
             query = batch.column("query").to_numpy(zero_copy_only=False)
@@ -164,7 +164,7 @@ def placer(model, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 def searcher(model, dim: int, k: int, sure: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Reads rows sorted by block, candidates before queries."""
-        projection, _ = model.value
+        projection = model[0].value
         now, held, tree = None, [], None
         for batch in batches:
             blocks, query = batch.column("blk").to_numpy(), batch.column("query").to_numpy(zero_copy_only=False)
@@ -197,7 +197,7 @@ def router(model, dim: int, sizes: dict[int, int], sure: float) -> Callable[[Ite
     """A row for each other block that a query's bound doesn't rule out."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        projection, top = model.value
+        projection, top = (m.value for m in model)
         for batch in batches:
             x = matrix(batch.column("vec"), dim)
             p = projection.queries(x)
@@ -237,7 +237,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sure: float = SU
     draw = F.pmod(F.xxhash64("vec_id", F.lit(19)), F.lit(1_000_000)) < int(min(1.0, SAMPLE / total) * 1_000_000)
     sample = known.where(draw).select("vec").limit(2 * SAMPLE).toPandas()["vec"]
     points = projection.candidates(np.stack([np.asarray(v, float) for v in sample])) if len(sample) else np.zeros((0, M))
-    model = spark.sparkContext.broadcast((projection, Top(points, -(-total // block))))
+    model = Carried(spark, projection), Carried(spark, Top(points, -(-total // block)))
     both = indexed.withColumn("query", F.lit(False)).unionByName(asked.withColumn("query", F.lit(True)))
     placed = materialize(both.mapInArrow(placer(model, dim), f"vec_id long, vec {vectors.schema[vector_col].dataType.simpleString()}, query boolean, cell long"), "placed")
     counts = placed.where("NOT query").groupBy("cell").agg(F.count("*").alias("n")).withColumn("subs", F.ceil(F.col("n") / (1.5 * block)).cast("long")).select("cell", "subs")

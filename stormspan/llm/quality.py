@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormspan.llm.common import forget, id_in, id_out, text_slices, words_of
+from stormspan.llm.common import Carried, forget, id_in, id_out, text_slices, words_of
 from stormspan.llm.langid import segment_sums
 
 BITS = 16
@@ -194,7 +194,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "q
     """doc_id and score of each row of docs."""
     rows = docs.select(*_rows(docs, id_col, text_col, length_col))
     machine = fit(rows, labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label")), learn, bits, max_train=max_train)
-    model = docs.sparkSession.sparkContext.broadcast(machine)
+    model = Carried(docs.sparkSession, machine)
     return rows.mapInArrow(scorer(model, bits), "doc_id long, score double").withColumn("doc_id", id_out(F.col("doc_id")))
 
 
@@ -202,7 +202,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, learn: Column, least: float =
     """The rows of docs with a score of at least `least`, all columns."""
     rows = docs.select(*_rows(docs, id_col, text_col, length_col))
     machine = fit(rows, labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label")), learn, bits, max_train=max_train)
-    model = docs.sparkSession.sparkContext.broadcast(machine)
+    model = Carried(docs.sparkSession, machine)
     names = docs.columns
     both = docs.toDF(*[f"c{i}" for i in range(len(names))])
     own = dict(zip(names, both.columns, strict=True))

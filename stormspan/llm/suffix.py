@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormspan.llm.common import U64, forget, id_in, id_out, longs, mix, powers, seeded, sliding_min, text_slices
+from stormspan.llm.common import U64, Carried, forget, id_in, id_out, longs, mix, powers, seeded, sliding_min, text_slices
 from stormspan.llm.sketch import sketch
 from stormspan.llm.substring import changes, marked, runs
 
@@ -321,7 +321,7 @@ def _marks(rows: DataFrame, length: int, gram: int, mode: str) -> DataFrame:
     if mode not in ("first", "all"):
         raise ValueError(f"mode is {mode!r}; it can be first or all")
     keep_first = mode == "first"
-    model = rows.sparkSession.sparkContext.broadcast(sketch(rows.select("doc_id", "text"), hasher(length, gram), (2, HOT)))
+    model = Carried(rows.sparkSession, sketch(rows.select("doc_id", "text"), hasher(length, gram), (2, HOT)))
     blocks = rows.select("doc_id", "tid", "text").mapInArrow(emitter(model, length, gram, keep_first), ROW).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "tid", "pos")
     return blocks.mapInArrow(grouper(length, keep_first), "doc_id long, tid long, pos int, n int").groupBy("doc_id", "tid").agg(F.collect_list(F.struct("pos", "n")).alias("marks"))
 
