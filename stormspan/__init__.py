@@ -1 +1,8 @@
 """Extreme-event analytics and large-corpus data preparation on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Workers receive the code of this package with each job, so a cluster needs no separate installation.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
