@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormspan.llm.common import id_in, id_out, kept, materialize, text_slices
+from stormspan.llm.common import forget, id_in, id_out, kept, materialize, text_slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -96,6 +96,8 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     key = f"encoder {path}"
     if key not in kept():
+        for other in ("powers", "inverse powers"):  # tables of earlier stages' hashing, some 40 MB
+            forget(other)
         kept()[key] = Encoder(path)
     return kept()[key]
 
