@@ -14,8 +14,9 @@
    large, is compared with one block only. No list of pairs is ever made.
 
 Defined cases: without a word the set is empty and linked with nothing; with fewer words than a shingle the whole
-sequence is the one shingle; rows of equal id are one node of the graph; null ids are a node of their own; an empty table
-gives no rows; other columns are not read.
+sequence is the one shingle; the graph's nodes are rows, numbered in a written copy, so rows of equal or null id are told
+apart; in a component the row with the smallest id is kept (null ids come last, then the row number decides), and only
+that one; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ def sketcher(words: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordB
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget("encoder")
         salt = seeded(bands, 31)
-        for keys, raw, offsets in text_slices(batches, "doc_id", "text"):
+        for keys, raw, offsets, docs in text_slices(batches, "row", "text", also="doc_id"):
             ids, sizes, sums, keys_out = [], [], [], []
             for key, own in shingle_sets(keys, raw, offsets, words):
                 ids.append(key)
@@ -83,7 +84,7 @@ def sketcher(words: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordB
                 else:
                     keys_out.append(None)
             both = np.array(sums, U64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), longs(both[:, 0].copy()), longs(both[:, 1].copy()), pa.array(keys_out, pa.list_(pa.int64()))], ["doc_id", "n", "s1", "s2", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), longs(both[:, 0].copy()), longs(both[:, 1].copy()), pa.array(keys_out, pa.list_(pa.int64()))], ["row", "doc_id", "n", "s1", "s2", "bands"])
 
     return sketch
 
@@ -95,9 +96,9 @@ def setter(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         for batch in batches:
             groups, at = batch.column("grp").to_numpy(zero_copy_only=False), 0
             counts = batch.column("members").to_numpy(zero_copy_only=False)
-            for keys, raw, offsets in text_slices(iter([batch]), "doc_id", "text", 1 << 19):
+            for keys, raw, offsets in text_slices(iter([batch]), "row", "text", 1 << 19):
                 own = [x.tobytes() for _, x in shingle_sets(keys, raw, offsets, words)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(groups[at : at + len(keys)], pa.int64()), pa.array(counts[at : at + len(keys)], pa.int64()), pa.array(own, pa.binary())], ["doc_id", "grp", "members", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(groups[at : at + len(keys)], pa.int64()), pa.array(counts[at : at + len(keys)], pa.int64()), pa.array(own, pa.binary())], ["row", "grp", "members", "own"])
                 at += len(keys)
 
     return make
@@ -152,12 +153,12 @@ def confirmer(threshold: float, margin: float) -> Callable[[tuple, Iterator[pa.R
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["u", "v"])
 
         for batch in batches:
-            for key, doc, part, own in zip(batch.column("blk").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), batch.column("own"), strict=True):
+            for key, row, part, own in zip(batch.column("blk").to_pylist(), batch.column("row").to_pylist(), batch.column("part").to_pylist(), batch.column("own"), strict=True):
                 if key != now:
                     if len(ids) > 1:
                         yield done()
                     now, ids, sets, parts = key, [], [], []
-                ids.append(doc)
+                ids.append(row)
                 parts.append(part)
                 sets.append(np.frombuffer(own.as_py(), U64))
         if len(ids) > 1:
@@ -167,53 +168,62 @@ def confirmer(threshold: float, margin: float) -> Callable[[tuple, Iterator[pa.R
 
 
 def _links(blocks: DataFrame, threshold: float, margin: float) -> DataFrame:
-    dealt = blocks.repartition("blk").sortWithinPartitions("blk", "doc_id")
+    dealt = blocks.repartition("blk").sortWithinPartitions("blk", "row")
     return dealt.mapInArrow(confirmer(threshold, margin), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, rows: int = ROWS, miss: float = MISS, margin: float = MARGIN, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: doc_id, n_shingles, component_id (smallest id of what it is linked with, itself included)."""
-    rows_in = docs.select(id_in(F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text"))
-    light = materialize(rows_in.mapInArrow(sketcher(words, n_bands(threshold, rows, miss), rows), "doc_id long, n long, s1 long, s2 long, bands array<long>"), "sketches")
-    classes = light.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    """For each row: doc_id, n_shingles, component_id (smallest id of what it is linked with, itself included), kept (true for one row of each component)."""
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row"), id_in(F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text")), "numbered")
+    return _judged(numbered, threshold, words, rows, miss, margin, block).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(rows_in: DataFrame, threshold: float = 0.8, words: int = 5, rows: int = ROWS, miss: float = MISS, margin: float = MARGIN, block: int = BLOCK) -> DataFrame:
+    """near_duplicates with the column row, over written rows (row, doc_id, text)."""
+    light = materialize(rows_in.mapInArrow(sketcher(words, n_bands(threshold, rows, miss), rows), "row long, doc_id long, n long, s1 long, s2 long, bands array<long>"), "sketches")
+    classes = light.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.first("bands").alias("bands")).withColumn("rep", F.col("least.row"))
     classes = materialize(classes, "classes")
     banded = classes.select("rep", F.explode("bands").alias("band"))
     centres = banded.groupBy("band").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").select("band", "centre")
     candidates = components(banded.join(centres, "band").where("rep > centre").select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct())
     sized = materialize(candidates.join(candidates.groupBy("component").agg(F.count("*").alias("members")), "component").select(F.col("node").alias("_rep"), F.col("component").alias("grp"), "members"), "candidates")
-    found = rows_in.join(sized, F.col("doc_id") == F.col("_rep")).select("doc_id", "text", "grp", "members")
-    sets = materialize(found.mapInArrow(setter(words), "doc_id long, grp long, members long, own binary").where("length(own) > 0"), "sets")
+    found = rows_in.join(sized, F.col("row") == F.col("_rep")).select("row", "text", "grp", "members")
+    sets = materialize(found.mapInArrow(setter(words), "row long, grp long, members long, own binary").where("length(own) > 0"), "sets")
 
     # Blocks of a component: by hash, the first also with every other.
     blocks = F.ceil(F.col("members") / block).cast("long")
-    own_block = F.pmod(F.xxhash64("doc_id"), blocks)
+    own_block = F.pmod(F.xxhash64("row"), blocks)
     every = F.when(own_block == 0, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(own_block))
-    first = sets.select("doc_id", "own", F.lit(2).alias("part"), "grp", F.explode(every).alias("_b")).select("doc_id", "own", "part", F.xxhash64("grp", "_b").alias("blk"))
+    first = sets.select("row", "own", F.lit(2).alias("part"), "grp", F.explode(every).alias("_b")).select("row", "own", "part", F.xxhash64("grp", "_b").alias("blk"))
     links = materialize(_links(first, threshold, margin), "links")
 
     # Classes outside the largest part of a component of several blocks against all of it.
-    large = sets.where(blocks > 1).select("doc_id", "grp")
+    large = sets.where(blocks > 1).select("row", "grp")
     if large.limit(1).count():
-        parts = components(links.join(large.select(F.col("doc_id").alias("u")), "u", "left_semi"))
-        placed = materialize(large.join(parts, F.col("doc_id") == F.col("node"), "left").select("doc_id", "grp", F.coalesce("component", "doc_id").alias("cc")), "placed")
+        parts = components(links.join(large.select(F.col("row").alias("u")), "u", "left_semi"))
+        placed = materialize(large.join(parts, F.col("row") == F.col("node"), "left").select("row", "grp", F.coalesce("component", "row").alias("cc")), "placed")
         main = placed.groupBy("grp", "cc").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("cc", F.struct("n", "cc")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"))
-        flags = placed.join(main, "grp").select(F.col("doc_id").alias("_d"), (F.col("cc") != F.col("main")).alias("out"), "outside").where("outside > 0")
-        grid = sets.join(flags, F.col("doc_id") == F.col("_d"))
+        flags = placed.join(main, "grp").select(F.col("row").alias("_d"), (F.col("cc") != F.col("main")).alias("out"), "outside").where("outside > 0")
+        grid = sets.join(flags, F.col("row") == F.col("_d"))
         strips = F.ceil(F.col("outside") / block).cast("long")
-        row, col = F.pmod(F.xxhash64("doc_id", F.lit(1)), strips), F.pmod(F.xxhash64("doc_id", F.lit(2)), blocks)
-        outs = grid.where("out").select("doc_id", "own", F.lit(1).alias("part"), "grp", row.alias("_r"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("_c"))
-        alls = grid.select("doc_id", "own", F.lit(0).alias("part"), "grp", F.explode(F.sequence(F.lit(0).cast("long"), strips - 1)).alias("_r"), col.alias("_c"))
-        second = outs.unionByName(alls).select("doc_id", "own", "part", F.xxhash64("grp", "_r", "_c").alias("blk"))
+        strip, col = F.pmod(F.xxhash64("row", F.lit(1)), strips), F.pmod(F.xxhash64("row", F.lit(2)), blocks)
+        outs = grid.where("out").select("row", "own", F.lit(1).alias("part"), "grp", strip.alias("_r"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("_c"))
+        alls = grid.select("row", "own", F.lit(0).alias("part"), "grp", F.explode(F.sequence(F.lit(0).cast("long"), strips - 1)).alias("_r"), col.alias("_c"))
+        second = outs.unionByName(alls).select("row", "own", "part", F.xxhash64("grp", "_r", "_c").alias("blk"))
         links = links.unionByName(materialize(_links(second, threshold, margin), "links2"))
-    final = components(links)
+    final = materialize(components(links).join(classes.select("rep", "least"), F.col("node") == F.col("rep")).select("node", "component", "least"), "final")
+    label = final.groupBy("component").agg(F.min("least").alias("first"))
+    placed_reps = final.select("node", "component").join(label, "component").select("node", "first")
 
-    named = classes.join(final, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", "rep", F.coalesce("component", "rep").alias("component_id"))
-    out = light.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
-    return out.select(id_out(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), id_out(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    named = classes.join(placed_reps, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("first", "least").alias("first"))
+    out = light.select("row", "doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
+    return out.select("row", id_out(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), id_out(F.coalesce("first.doc_id", "doc_id")).alias("component_id"), (F.col("row") == F.coalesce("first.row", "row")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """docs without near-duplicates: of each component the document with the smallest id stays."""
-    gone = near_duplicates(docs, threshold, words, id_col=id_col, text_col=text_col, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    """docs without near-duplicates: of each component one row stays, that with the smallest id."""
     own, names = plain_names(docs)
-    return own.join(gone, F.col(names[id_col]) == F.col("_gone"), "left_anti").toDF(*docs.columns)
+    numbered = materialize(own.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    rows_in = numbered.select("row", id_in(F.col(names[id_col])).alias("doc_id"), F.col(names[text_col]).alias("text"))
+    gone = _judged(rows_in, threshold, words, **options).where("NOT kept").select(F.col("row").alias("_gone"))
+    return numbered.join(gone, F.col("row") == F.col("_gone"), "left_anti").drop("row").toDF(*docs.columns)

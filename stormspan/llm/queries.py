@@ -54,8 +54,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.85, words=3)
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.85, words=3)
 
 
 def op9_pack(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:

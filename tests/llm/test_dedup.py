@@ -179,6 +179,16 @@ def test_near_duplicates_empty_and_keep_one(spark):
     assert {r.doc_id for r in kept.collect()} == {3, 9, 10, None}
 
 
+def test_near_duplicates_null_ids_and_repeated_rows(spark):
+    """Null-id copies don't link what they are copies of, and one row of each component stays."""
+    a, b = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
+    docs = frame(spark, [(5, a), (9, b), (None, a + " more"), (None, b + " more"), (7, a), (7, a), (5, a), (None, "x y"), (None, "x y"), (None, None), (3, "q r"), (3, "s t")])
+    got = neardup.near_duplicates(docs, 0.8).collect()
+    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == sorted([("5", "5", True), ("5", "5", False), ("7", "5", False), ("7", "5", False), ("None", "5", False), ("9", "9", True), ("None", "9", False), ("None", "None", True), ("None", "None", False), ("None", "None", True), ("3", "3", True), ("3", "3", True)])
+    kept = neardup.keep_one(docs).select("doc_id", "text").collect()
+    assert sorted((str(d), str(t)) for d, t in kept) == sorted([("5", a), ("9", b), ("None", "x y"), ("None", "None"), ("3", "q r"), ("3", "s t")])
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 7), (20, 10)] + [(100, k) for k in range(101, 140)] + [(k, k + 1) for k in range(300, 340)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
