@@ -12,8 +12,9 @@ ordered by number, checked for gaps and against the total length, joined, and th
 get their payload's length from the response that they refer to; that join deals by record id, and adaptive execution
 splits a response with very many revisits.
 
-Defined cases: null payloads are empty; rows with equal id and payload give equal records and are read back as one; rows
-with equal id and other payloads are records each for itself; an empty table gives no records; other columns are not read. A missing segment, a wrong
+Defined cases: null payloads are empty; rows with equal id and payload are, with `every_row`, numbered and records each for
+itself, otherwise equal records that are read back as one; rows with equal id and other payloads are records each for
+itself; a null id has no X-Page-ID field and is null again, and such a row is no revisit; an empty table gives no records; other columns are not read. A missing segment, a wrong
 length, a broken chunk, a digest that doesn't fit or a revisit without its response raises an error.
 """
 
@@ -24,7 +25,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stormspan.llm.common import materialize, shared_dir
@@ -40,8 +41,8 @@ RECORD = "page_id long, record_id string, kind string, digest string, refers_to
 RECORD_ARROW = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("kind", pa.string()), ("digest", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
 
 
-def record_id(page_id: int, digest: str, part: int = 1) -> str:
-    h = hashlib.sha256(f"{page_id}/{digest}/{part}".encode()).hexdigest()
+def record_id(page_id: int | None, digest: str, part: int = 1, copy: int = 0) -> str:
+    h = hashlib.sha256((f"{page_id}/{digest}/{part}" + f"/{copy}" * bool(copy)).encode()).hexdigest()
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:32]}>"
 
 
@@ -75,12 +76,12 @@ def decode_block(block: bytes) -> bytes:
     return dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
-def records_of(page_id: int, payload: bytes, digest: str, first: int | None, url: str | None, segment_bytes: int) -> Iterator[bytes]:
-    """The records of a row, each without its last line end."""
-    own = record_id(page_id, digest)
+def records_of(page_id: int | None, payload: bytes, digest: str, first: int | None, url: str | None, segment_bytes: int, copy: int = 0) -> Iterator[bytes]:
+    """The records of a row, each without its last line end; copy numbers rows of equal id and payload from 0."""
+    own = record_id(page_id, digest, copy=copy)
 
     def record(kind: str, ident: str, block: bytes, **fields: object) -> bytes:
-        head = {"WARC-Type": kind, "WARC-Record-ID": ident, "WARC-Date": DATE, "WARC-Target-URI": "".join((url or "about:blank").split()) or "about:blank", "X-Page-ID": page_id} | {k.replace("_", "-"): v for k, v in fields.items()} | {"Content-Length": len(block)}
+        head = {"WARC-Type": kind, "WARC-Record-ID": ident, "WARC-Date": DATE, "WARC-Target-URI": "".join((url or "about:blank").split()) or "about:blank"} | ({} if page_id is None else {"X-Page-ID": page_id}) | {k.replace("_", "-"): v for k, v in fields.items()} | {"Content-Length": len(block)}
         return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n"
 
     if first is not None:
@@ -98,7 +99,7 @@ def records_of(page_id: int, payload: bytes, digest: str, first: int | None, url
         if k == 0:
             yield record("response", own, part, WARC_Segment_Number=1, **kinds)
         else:
-            yield record("continuation", record_id(page_id, digest, k + 1), part, WARC_Segment_Origin_ID=own, WARC_Segment_Number=k + 1, **total)
+            yield record("continuation", record_id(page_id, digest, k + 1, copy), part, WARC_Segment_Origin_ID=own, WARC_Segment_Number=k + 1, **total)
 
 
 def writer(segment_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -106,8 +107,8 @@ def writer(segment_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
         for batch in batches:
             out: list[bytes] = []
             held = 0
-            for page, url, payload, digest, first in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "digest", "first")), strict=True):
-                for r in records_of(page.as_py(), payload.as_py() or b"", digest.as_py(), first.as_py(), url.as_py(), segment_bytes):
+            for page, url, payload, digest, first, copy in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "digest", "first", "copy")), strict=True):
+                for r in records_of(page.as_py(), payload.as_py() or b"", digest.as_py(), first.as_py(), url.as_py(), segment_bytes, copy.as_py()):
                     out.append(r)
                     held += len(r)
                 if held > 8 << 20:
@@ -118,14 +119,15 @@ def writer(segment_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return write
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = MIN_REVISIT, segment_bytes: int = SEGMENT_BYTES, records_per_file: int = 4096, compression: str = "gzip") -> None:
-    """Writes the archives below path."""
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = MIN_REVISIT, segment_bytes: int = SEGMENT_BYTES, records_per_file: int = 4096, compression: str = "gzip", every_row: bool = False) -> None:
+    """Writes the archives below path; with every_row each row has a record id of its own."""
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     light = pages.select(F.col(id_col).cast("long").alias("page_id"), F.unhex(F.sha2(payload, 256)).alias("sha"), F.octet_length(payload).alias("n")).where(F.col("n") >= min_revisit)
     repeats = light.groupBy("sha").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("sha", "first")
     again = light.select("page_id", "sha").distinct().join(repeats, "sha").where("page_id > first")
     full = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("sha", F.unhex(F.sha2("payload", 256)))
-    joined = full.join(again, ["page_id", "sha"], "left").select("page_id", "url", F.when(F.col("first").isNull(), F.col("payload")).alias("payload"), F.lower(F.hex("sha")).alias("digest"), "first")
+    copy = F.row_number().over(Window.partitionBy("page_id", "sha").orderBy(F.lit(0))) - 1 if every_row else F.lit(0)
+    joined = full.join(again, ["page_id", "sha"], "left").select("page_id", "url", F.when(F.col("first").isNull(), F.col("payload")).alias("payload"), F.lower(F.hex("sha")).alias("digest"), "first", copy.alias("copy"))
     made = joined.mapInArrow(writer(segment_bytes), "record binary")
     made.select(F.col("record").cast("string")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
 
@@ -197,7 +199,7 @@ def parser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digest = head.get("warc-payload-digest", "").removeprefix("sha256:")
                 own = head["warc-record-id"]
                 whole = kind == "response" and not segment
-                rows.append((int(head["x-page-id"]), own, kind, digest or None, head.get("warc-refers-to"), measured(block, digest) if whole else None, head.get("warc-segment-origin-id", own) if segment else None, segment or None, int(head["warc-segment-total-length"]) if "warc-segment-total-length" in head else None, block if segment else None))
+                rows.append((int(head["x-page-id"]) if "x-page-id" in head else None, own, kind, digest or None, head.get("warc-refers-to"), measured(block, digest) if whole else None, head.get("warc-segment-origin-id", own) if segment else None, segment or None, int(head["warc-segment-total-length"]) if "warc-segment-total-length" in head else None, block if segment else None))
                 if len(rows) >= 512:
                     yield batch_of(rows)
                     rows = []
@@ -221,8 +223,11 @@ def reassembler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each archived page: page_id, record_id, record_type, payload_bytes, payload_digest, refers_to (the response's page_id)."""
+def read(spark: SparkSession, path: str, every_row: bool = False) -> DataFrame:
+    """One row for each archived page: page_id, record_id, record_type, payload_bytes, payload_digest, refers_to (the response's page_id).
+
+    every_row: the archives were written so; else records of equal id are one row.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     parsed = materialize(files.mapInArrow(parser, RECORD), "parsed")  # three readers below
     parts = parsed.where("segment IS NOT NULL").dropDuplicates(["origin", "segment"]).groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("segment", "page_id", "digest", "total", "block"))).alias("parts"))
@@ -234,11 +239,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     both = responses.select("page_id", "record_id", F.lit("response").alias("record_type"), "payload_bytes", F.col("digest").alias("payload_digest"), F.lit(None).cast("long").alias("refers_to")).unionByName(
         resolved.select("page_id", "record_id", F.lit("revisit").alias("record_type"), "payload_bytes", F.col("digest").alias("payload_digest"), "refers_to")
     )
-    return both.dropDuplicates(["record_id"])
+    return both if every_row else both.dropDuplicates(["record_id"])
 
 
-def round_trip(pages: DataFrame, **options: object) -> DataFrame:
+def round_trip(pages: DataFrame, every_row: bool = False, **options: object) -> DataFrame:
     """Writes the archives into the shared folder and reads them back."""
     path = f"{shared_dir(pages.sparkSession)}/warc"
-    write(pages, path, **options)
-    return read(pages.sparkSession, path)
+    write(pages, path, every_row=every_row, **options)
+    return read(pages.sparkSession, path, every_row)

@@ -164,6 +164,16 @@ def test_archives_repeated_and_empty(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_keep_every_row(spark, tmp_path):
+    """The query gives a row for each page as its SQL does, also for repeated rows and null ids."""
+    same, big = "y" * 200, "".join(random.Random(5).choice("ab") for _ in range(150_000))
+    rows = [(1, same), (1, same), (2, same), (2, same), (3, big), (3, big), (4, "z"), (4, "z"), (None, same), (None, same), (None, None), (5, None)]
+    spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in queries.op10_warc(spark, str(tmp_path)).collect()]
+    want = [(i, len(h or ""), hashlib.sha256((h or "").encode()).hexdigest(), *(("revisit", 1) if (i, h) == (2, same) else ("response", None))) for i, h in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_broken_archives(spark):
     with pytest.raises(ValueError):
         warc.dechunked(b"5\r\nabc")
