@@ -12,7 +12,10 @@ unseen: its context's escape weight and the next shorter context stand for it. S
 contexts up in broadcast tables and sums per row, whose partial sums leave the scan as one row for each URL, so no host
 or URL can gather in one task.
 
-Defined cases: a null URL or one without `://` has an empty host and path and is judged by the method; repeated rows are
+The models read the whole URL, with scheme, query and fragment; rules and output columns host and path only.
+
+Defined cases: a null URL or one without `://` has an empty host and path and is judged by the method (a null one as an
+empty string); repeated rows are
 judged each for itself; without decided URLs of either verdict everything undecided is allowed; other columns are not
 read. Ties at the threshold are allowed.
 """
@@ -108,9 +111,10 @@ def scored(df: DataFrame, model: DataFrame, order: int, *keep: str) -> DataFrame
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, order: int = ORDER, max_grams: int = MAX_GRAMS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """For each row: id_col, host, path, rule, verdict, score (null where a rule decides), threshold."""
     host, path = parsed(F.col(url_col))
-    base = pages.select(F.col(id_col), *(c.alias(n) for c, n in ((host, "host"), (path, "path"))))
+    whole = F.concat(F.lit(BEGIN), F.coalesce(F.col(url_col), F.lit("")), F.lit(END))
+    base = pages.select(F.col(id_col), *(c.alias(n) for c, n in ((host, "host"), (path, "path"), (whole, "_s"))))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    base = base.select(id_col, "host", "path", rule.alias("rule"), verdict.alias("_verdict")).withColumn("_s", F.concat(F.lit(BEGIN), "host", "path", F.lit(END)))
+    base = base.select(id_col, "host", "path", "_s", rule.alias("rule"), verdict.alias("_verdict"))
     held_out = F.pmod(F.crc32(F.encode("_s", "UTF-8")), F.lit(5)) == 0
     decided = base.where("_verdict IS NOT NULL").withColumn("accepted", F.col("_verdict") == "allow")
     model = train(decided.where(~held_out).select("_s", "accepted"), order, max_grams)

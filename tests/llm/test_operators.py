@@ -60,6 +60,16 @@ def test_url_rules_and_model(spark):
     assert kept.columns == pages.columns and 0 < kept.count() < len(rows)
 
 
+def test_url_model_reads_the_whole_url(spark):
+    """Queries, fragments and URLs without a scheme count."""
+    urls_in = [f"http://x.com/{'fr' if i % 2 else 'de'}/{i}?{'good' if i % 2 else 'vile'}" for i in range(200)]
+    odd = ["http://y.net/1?good", "http://y.net/1?vile", "http://y.net/1#good", "http://y.net/1#vile", "good good", "vile vile"]
+    pages = spark.createDataFrame(list(enumerate(urls_in + odd)), "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge(pages).where("page_id >= 200").collect()}
+    assert [got[200 + i].score > got[201 + i].score for i in (0, 2, 4)] == [True] * 3
+    assert (got[200].verdict, got[201].verdict, got[204].host) == ("allow", "block", "")
+
+
 def test_url_model_bound_and_no_labels(spark):
     rows = [(i, u) for i, u in url_rows() if expected_rule(u)[2] is None]
     pages = spark.createDataFrame(rows, "page_id long, url string")
