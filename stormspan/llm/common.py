@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 MULT = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+#: Arrow batches are cut by size too: the default of 10,000 rows of long texts takes a worker's and the JVM's memory.
+BATCH_BYTES = 4 << 20
 
 
 def kept() -> dict:
@@ -30,14 +33,27 @@ def forget(prefix: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names in spark.checkpoint.dir.
+    """A new folder below the one that the cluster names in spark.checkpoint.dir; it goes when the application ends.
 
-    Only where that is unset (tests on one machine) a folder of our own is taken.
+    Where that is unset, a local session (tests on one machine) takes a folder of its own; a cluster gets an error, since
+    executors would write to folders of their own that no other reads.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: intermediate tables need a folder that all executors share")
         base = f"/tmp/stormspan-{spark.sparkContext.applicationId}"
-    return f"{base.rstrip('/')}/stormspan/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/stormspan/{uuid.uuid4().hex}"
+    files, where = _files(spark, path)
+    files.deleteOnExit(where)
+    return path
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop file system of a path, and the path as it takes it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -45,7 +61,45 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stormspan_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what materialize wrote, once nothing reads it any more."""
+    files, where = _files(df.sparkSession, df._stormspan_path)
+    files.delete(where.getParent(), True)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def arrow_map(df: DataFrame, function: Callable[[Batches], Batches], schema: object) -> DataFrame:
+    """mapInArrow in batches of bounded size; a worker gives its free memory back at the end of each task.
+
+    The bound is a setting of the session, which holds for plans that run later too; a smaller one is left.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = spark.conf.get(key).rstrip("b")
+    if not have.isdigit() or not 0 < int(have) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from function(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(run, schema)
+
+
+def trim() -> None:
+    """Gives memory that this process doesn't use back to the system, where that can be asked for."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
 
 
 class Carried:

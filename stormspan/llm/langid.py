@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormspan.llm.common import MULT, U64, id_in, id_out, kept, text_slices
+from stormspan.llm.common import MULT, U64, arrow_map, id_in, id_out, kept, text_slices
 
 BITS = 15
 LENGTHS = (1, 2, 3)
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, learn: Column, bits: int = BITS, max_train: int = MAX_T
     langs = sorted(r.lang for r in found)
     if not langs:
         return [], np.zeros((1 << bits, 0), np.float32), 1.0
-    df = known.select("doc_id", "text").mapInArrow(document_frequencies(bits), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    df = arrow_map(known.select("doc_id", "text"), document_frequencies(bits), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     n_docs = sum(r.n for r in df if r.bucket < 0)
     idf = np.full(1 << bits, np.log(1 + n_docs))
     for r in df:
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, learn: Column, bits: int = BITS, max_train: int = MAX_T
     share = F.create_map(*[F.lit(x) for r in found for x in (r.lang, min(1.0, max_train / len(langs) / r.n))])
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1_000_000)) / 1e6
     sample = known.where(draw < F.try_element_at(share, F.col("lang"))).select("doc_id", "text", "lang").limit(2 * max_train)
-    rows = sample.mapInArrow(shares(bits), "doc_id long, lang string, ids array<int>, vals array<float>").collect()
+    rows = arrow_map(sample, shares(bits), "doc_id long, lang string, ids array<int>, vals array<float>").collect()
     place = {x: i for i, x in enumerate(langs)}
     data = [(i := np.asarray(r.ids), np.asarray(r.vals, np.float64) * idf[i] * SCALE, place[r.lang]) for r in sorted(rows, key=lambda r: (r.doc_id, r.lang))]
     keep, apart = [d for k, d in enumerate(data) if k % 5], data[::5]
@@ -211,4 +211,4 @@ def identify(docs: DataFrame, learn: Column, bits: int = BITS, max_train: int =
     rows = docs.select(id_in(F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     langs, w, _ = fit(rows, learn, bits, max_train)
     model = docs.sparkSession.sparkContext.broadcast((langs, w))
-    return rows.select("doc_id", "text").mapInArrow(predictor(model, bits), "doc_id long, lang_pred string, score double").withColumn("doc_id", id_out(F.col("doc_id")))
+    return arrow_map(rows.select("doc_id", "text"), predictor(model, bits), "doc_id long, lang_pred string, score double").withColumn("doc_id", id_out(F.col("doc_id")))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormspan.llm.common import U64, forget, id_in, id_out, longs, materialize, mix, plain_names, seeded, text_slices, window_hashes, words_of
+from stormspan.llm.common import U64, arrow_map, forget, id_in, id_out, longs, materialize, mix, plain_names, seeded, text_slices, window_hashes, words_of
 from stormspan.llm.components import components
 
 ROWS = 5
@@ -169,7 +169,7 @@ def confirmer(threshold: float, margin: float) -> Callable[[tuple, Iterator[pa.R
 
 def _links(blocks: DataFrame, threshold: float, margin: float) -> DataFrame:
     dealt = blocks.repartition("blk").sortWithinPartitions("blk", "row")
-    return dealt.mapInArrow(confirmer(threshold, margin), "u long, v long")
+    return arrow_map(dealt, confirmer(threshold, margin), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, rows: int = ROWS, miss: float = MISS, margin: float = MARGIN, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, row
 
 def _judged(rows_in: DataFrame, threshold: float = 0.8, words: int = 5, rows: int = ROWS, miss: float = MISS, margin: float = MARGIN, block: int = BLOCK) -> DataFrame:
     """near_duplicates with the column row, over written rows (row, doc_id, text)."""
-    light = materialize(rows_in.mapInArrow(sketcher(words, n_bands(threshold, rows, miss), rows), "row long, doc_id long, n long, s1 long, s2 long, bands array<long>"), "sketches")
+    light = materialize(arrow_map(rows_in, sketcher(words, n_bands(threshold, rows, miss), rows), "row long, doc_id long, n long, s1 long, s2 long, bands array<long>"), "sketches")
     classes = light.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.first("bands").alias("bands")).withColumn("rep", F.col("least.row"))
     classes = materialize(classes, "classes")
     banded = classes.select("rep", F.explode("bands").alias("band"))
@@ -188,7 +188,7 @@ def _judged(rows_in: DataFrame, threshold: float = 0.8, words: int = 5, rows: in
     candidates = components(banded.join(centres, "band").where("rep > centre").select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct())
     sized = materialize(candidates.join(candidates.groupBy("component").agg(F.count("*").alias("members")), "component").select(F.col("node").alias("_rep"), F.col("component").alias("grp"), "members"), "candidates")
     found = rows_in.join(sized, F.col("row") == F.col("_rep")).select("row", "text", "grp", "members")
-    sets = materialize(found.mapInArrow(setter(words), "row long, grp long, members long, own binary").where("length(own) > 0"), "sets")
+    sets = materialize(arrow_map(found, setter(words), "row long, grp long, members long, own binary").where("length(own) > 0"), "sets")
 
     # Blocks of a component: by hash, the first also with every other.
     blocks = F.ceil(F.col("members") / block).cast("long")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stormspan.llm.common import Carried, materialize
+from stormspan.llm.common import Carried, arrow_map, materialize
 
 M = 8
 SURE = 0.95
@@ -239,16 +239,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sure: float = SU
     points = projection.candidates(np.stack([np.asarray(v, float) for v in sample])) if len(sample) else np.zeros((0, M))
     model = Carried(spark, projection), Carried(spark, Top(points, -(-total // block)))
     both = indexed.withColumn("query", F.lit(False)).unionByName(asked.withColumn("query", F.lit(True)))
-    placed = materialize(both.mapInArrow(placer(model, dim), f"vec_id long, vec {vectors.schema[vector_col].dataType.simpleString()}, query boolean, cell long"), "placed")
+    placed = materialize(arrow_map(both, placer(model, dim), f"vec_id long, vec {vectors.schema[vector_col].dataType.simpleString()}, query boolean, cell long"), "placed")
     counts = placed.where("NOT query").groupBy("cell").agg(F.count("*").alias("n")).withColumn("subs", F.ceil(F.col("n") / (1.5 * block)).cast("long")).select("cell", "subs")
     sizes = {r.cell: r.subs for r in counts.collect()}
     table = F.broadcast(spark.createDataFrame(list(sizes.items()), "cell long, subs long"))
     dealt = placed.join(table, "cell", "left").withColumn("blk", F.shiftleft("cell", 20) + F.pmod(F.xxhash64("vec_id"), F.coalesce("subs", F.lit(1).cast("long")))).select("vec_id", "vec", "query", F.lit(float("-inf")).alias("bound"), "blk")
     sweep = searcher(model, dim, k, sure)
-    home = materialize(dealt.repartition("blk").sortWithinPartitions("blk", "query").mapInArrow(sweep, FOUND), "home")
+    home = materialize(arrow_map(dealt.repartition("blk").sortWithinPartitions("blk", "query"), sweep, FOUND), "home")
     kth = home.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).select(F.col("query_id").alias("_q"), F.when(F.col("n") >= k, F.col("least")).alias("_b"))
     bounded = dealt.where("query").join(kth, F.col("vec_id") == F.col("_q"), "left").select("vec_id", "vec", "query", F.coalesce("_b", F.lit(float("-inf"))).alias("bound"), "blk")
-    routed = bounded.mapInArrow(router(model, dim, sizes, sure), "vec_id long, vec " + vectors.schema[vector_col].dataType.simpleString() + ", query boolean, bound double, blk long")
-    away = dealt.where("NOT query").unionByName(routed).repartition("blk").sortWithinPartitions("blk", "query").mapInArrow(sweep, FOUND)
+    routed = arrow_map(bounded, router(model, dim, sizes, sure), "vec_id long, vec " + vectors.schema[vector_col].dataType.simpleString() + ", query boolean, bound double, blk long")
+    away = arrow_map(dealt.where("NOT query").unionByName(routed).repartition("blk").sortWithinPartitions("blk", "query"), sweep, FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return home.unionByName(away).dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormspan.llm.common import Carried, forget, id_in, id_out, text_slices, words_of
+from stormspan.llm.common import Carried, arrow_map, forget, id_in, id_out, text_slices, words_of
 from stormspan.llm.langid import segment_sums
 
 BITS = 16
@@ -153,7 +153,7 @@ def fit(rows: DataFrame, labels: DataFrame, learn: Column, bits: int = BITS, ran
     known = dict(sample.collect())
     keys = rows.sparkSession.createDataFrame(list(known.items()), "_key long, label int")
     found = rows.join(F.broadcast(keys.select("_key")), F.col("doc_id") == F.col("_key"), "left_semi").limit(4 * max_train)
-    got = sorted(found.mapInArrow(extractor(bits), "doc_id long, ids array<int>, vals array<float>, stats array<double>").collect(), key=lambda r: (r.doc_id, r.stats))
+    got = sorted(arrow_map(found, extractor(bits), "doc_id long, ids array<int>, vals array<float>, stats array<double>").collect(), key=lambda r: (r.doc_id, r.stats))
     if not got:
         machine.v[:] = 0
         return machine
@@ -195,7 +195,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "q
     rows = docs.select(*_rows(docs, id_col, text_col, length_col))
     machine = fit(rows, labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label")), learn, bits, max_train=max_train)
     model = Carried(docs.sparkSession, machine)
-    return rows.mapInArrow(scorer(model, bits), "doc_id long, score double").withColumn("doc_id", id_out(F.col("doc_id")))
+    return arrow_map(rows, scorer(model, bits), "doc_id long, score double").withColumn("doc_id", id_out(F.col("doc_id")))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, learn: Column, least: float = 0.5, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", bits: int = BITS, max_train: int = MAX_TRAIN) -> DataFrame:
@@ -206,5 +206,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, learn: Column, least: float =
     names = docs.columns
     both = docs.toDF(*[f"c{i}" for i in range(len(names))])
     own = dict(zip(names, both.columns, strict=True))
-    kept = both.select(*both.columns, *_rows(both, own[id_col], own[text_col], own.get(length_col) if length_col else None)).mapInArrow(filterer(model, bits, least), both.schema)
+    kept = arrow_map(both.select(*both.columns, *_rows(both, own[id_col], own[text_col], own.get(length_col) if length_col else None)), filterer(model, bits, least), both.schema)
     return kept.toDF(*names)

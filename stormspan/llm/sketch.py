@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stormspan.llm.common import U64, mix, seeded
+from stormspan.llm.common import U64, arrow_map, mix, seeded
 
 DEPTH = 2
 CELL_BITS = 26
@@ -91,9 +91,9 @@ class Sketch:
 
 def sketch(rows: DataFrame, hashes_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], levels: tuple[int, ...] = (2,)) -> Sketch:
     """Counts all hashes that hashes_of takes from rows."""
-    parts = rows.mapInArrow(partial(hashes_of), "part int, places binary, counts binary").repartition("part").sortWithinPartitions("part")
+    parts = arrow_map(rows, partial(hashes_of), "part int, places binary, counts binary").repartition("part").sortWithinPartitions("part")
     out, size = Sketch(levels), 1 << (RANGE_BITS - 3)
-    for part, bits in parts.mapInArrow(merger(levels), "part int, bits binary").toLocalIterator():
+    for part, bits in arrow_map(parts, merger(levels), "part int, bits binary").toLocalIterator():
         own = np.frombuffer(zlib.decompress(bits), np.uint8)
         at = (part & 0xFFFF) * size
         for k in range(len(levels)):

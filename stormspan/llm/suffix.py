@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormspan.llm.common import U64, Carried, forget, id_in, id_out, longs, mix, powers, seeded, sliding_min, text_slices
+from stormspan.llm.common import U64, Carried, arrow_map, forget, id_in, id_out, longs, mix, powers, seeded, sliding_min, text_slices
 from stormspan.llm.sketch import sketch
 from stormspan.llm.substring import changes, marked, runs
 
@@ -322,15 +322,15 @@ def _marks(rows: DataFrame, length: int, gram: int, mode: str) -> DataFrame:
         raise ValueError(f"mode is {mode!r}; it can be first or all")
     keep_first = mode == "first"
     model = Carried(rows.sparkSession, sketch(rows.select("doc_id", "text"), hasher(length, gram), (2, HOT)))
-    blocks = rows.select("doc_id", "tid", "text").mapInArrow(emitter(model, length, gram, keep_first), ROW).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "tid", "pos")
-    return blocks.mapInArrow(grouper(length, keep_first), "doc_id long, tid long, pos int, n int").groupBy("doc_id", "tid").agg(F.collect_list(F.struct("pos", "n")).alias("marks"))
+    blocks = arrow_map(rows.select("doc_id", "tid", "text"), emitter(model, length, gram, keep_first), ROW).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "tid", "pos")
+    return arrow_map(blocks, grouper(length, keep_first), "doc_id long, tid long, pos int, n int").groupBy("doc_id", "tid").agg(F.collect_list(F.struct("pos", "n")).alias("marks"))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mode: str = "first", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: doc_id, n_bytes, n_removed, n_spans and kept, the remaining bytes."""
     rows = docs.select(id_in(F.col(id_col)).alias("doc_id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text"))
     both = rows.join(_marks(rows, length, gram, mode), ["doc_id", "tid"], "left").select("doc_id", "text", "marks")
-    return both.mapInArrow(finisher(length, False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumn("doc_id", id_out(F.col("doc_id")))
+    return arrow_map(both, finisher(length, False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumn("doc_id", id_out(F.col("doc_id")))
 
 
 def remove_copies(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
@@ -346,7 +346,7 @@ def remove_copies(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_co
     others = [c for c in own.columns if c != text]
     both = rows.join(marks, ["doc_id", "tid"], "left").select(*others, "doc_id", "text", "marks", F.col("text").isNull().alias("was_null"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields if f.name != text)
-    done = both.mapInArrow(finisher(length, True), f"{kinds}, was_null boolean, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    done = arrow_map(both, finisher(length, True), f"{kinds}, was_null boolean, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     done = done.withColumn(text, F.when(~F.col("was_null"), F.col("kept").cast("string")))
     if length_col:
         size = own.columns[names.index(length_col)]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stormspan.llm.common import materialize, shared_dir
+from stormspan.llm.common import arrow_map, materialize, shared_dir
 
 MIN_REVISIT = 100
 SEGMENT_BYTES = 64 << 10
@@ -128,7 +128,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     full = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("sha", F.unhex(F.sha2("payload", 256)))
     copy = F.row_number().over(Window.partitionBy("page_id", "sha").orderBy(F.lit(0))) - 1 if every_row else F.lit(0)
     joined = full.join(again, ["page_id", "sha"], "left").select("page_id", "url", F.when(F.col("first").isNull(), F.col("payload")).alias("payload"), F.lower(F.hex("sha")).alias("digest"), "first", copy.alias("copy"))
-    made = joined.mapInArrow(writer(segment_bytes), "record binary")
+    made = arrow_map(joined, writer(segment_bytes), "record binary")
     made.select(F.col("record").cast("string")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
 
 
@@ -229,9 +229,9 @@ def read(spark: SparkSession, path: str, every_row: bool = False) -> DataFrame:
     every_row: the archives were written so; else records of equal id are one row.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    parsed = materialize(files.mapInArrow(parser, RECORD), "parsed")  # three readers below
+    parsed = materialize(arrow_map(files, parser, RECORD), "parsed")  # three readers below
     parts = parsed.where("segment IS NOT NULL").dropDuplicates(["origin", "segment"]).groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("segment", "page_id", "digest", "total", "block"))).alias("parts"))
-    long_ones = parts.mapInArrow(reassembler, "page_id long, record_id string, digest string, payload_bytes long")
+    long_ones = arrow_map(parts, reassembler, "page_id long, record_id string, digest string, payload_bytes long")
     responses = parsed.where("kind = 'response' AND segment IS NULL").select("page_id", "record_id", "digest", "payload_bytes").unionByName(long_ones)
     revisits = parsed.where("kind = 'revisit'").select("page_id", "record_id", "digest", F.col("refers_to").alias("_to"))
     known = responses.select(F.col("record_id").alias("_to"), F.col("page_id").alias("refers_to"), "payload_bytes").dropDuplicates(["_to"])
