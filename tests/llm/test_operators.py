@@ -1,8 +1,11 @@
 """URL filter, decontamination, archives, classifiers and neighbours on small tables with odd rows."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -70,13 +73,72 @@ def test_url_model_reads_the_whole_url(spark):
     assert (got[200].verdict, got[201].verdict, got[204].host) == ("allow", "block", "")
 
 
-def test_url_model_bound_and_no_labels(spark):
+def test_url_model_without_labels(spark):
     rows = [(i, u) for i, u in url_rows() if expected_rule(u)[2] is None]
     pages = spark.createDataFrame(rows, "page_id long, url string")
     assert {r.verdict for r in urls.judge(pages).collect()} == {"allow"}
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
-    labelled = spark.createDataFrame([(f"\x02{u}\x03", (i or 0) % 2 == 0) for i, u in url_rows() if u], "_s string, accepted boolean")
-    assert urls.train(labelled, max_grams=300).count() <= 300
+
+
+class Markov:
+    """The interpolated model of one class, from its whole strings."""
+
+    def __init__(self, texts, order):
+        self.order, self.after = order, defaultdict(Counter)
+        for t in texts:
+            for at, c in enumerate(t):
+                for k in range(min(order - 1, at) + 1):
+                    self.after[t[at - k : at]][c] += 1
+
+    def p(self, context, c):
+        lower = self.p(context[1:], c) if context else 1 / urls.ALPHABET
+        own = self.after.get(context)
+        return (own[c] + len(own) * lower) / (sum(own.values()) + len(own)) if own else lower
+
+
+def expected_scores(rows, order):
+    """Of each open URL the mean log-ratio, and the threshold."""
+    classes, held, scores = {True: [], False: []}, {True: [], False: []}, {}
+    whole = {i: urls.BEGIN + (u or "") + urls.END for i, u in rows}
+    for i, u in rows:
+        verdict = expected_rule(u)[3]
+        if verdict:
+            (held if zlib.crc32(whole[i].encode()) % 5 == 0 else classes)[verdict == "allow"].append(whole[i])
+    both = {k: Markov(v, order) for k, v in classes.items()}
+    known = {t[max(0, at - k) : at + 1] for v in classes.values() for t in v for at in range(len(t)) for k in range(order)}
+
+    def ratio(context, c):
+        """Of an n-gram that no class has, the escape weights of its context and the ratio of the shorter one stand."""
+        if context + c in known:
+            return math.log(both[True].p(context, c) / both[False].p(context, c))
+        if not context:
+            return 0.0
+        escape = 0.0
+        for m, sign in ((both[True], 1), (both[False], -1)):
+            own = m.after.get(context)
+            escape += sign * math.log(len(own) / (sum(own.values()) + len(own))) if own else 0.0
+        return escape + ratio(context[1:], c)
+
+    def score(t):
+        return sum(ratio(t[max(0, at - order + 1) : at], c) for at, c in enumerate(t)) / len(t)
+
+    scores = {i: score(whole[i]) for i, u in rows if not expected_rule(u)[3]}
+    (ma, sa), (mr, sr) = ((np.mean(x), np.std(x)) for x in ([score(t) for t in held[k]] for k in (True, False)))
+    return scores, (ma * sr + mr * sa) / (sa + sr)
+
+
+@pytest.mark.parametrize("head", [urls.HEAD, 40])
+def test_url_model_against_brute_force(spark, head):
+    """Also where only few n-grams are looked up in a broadcast table."""
+    rng = random.Random(8)
+    rows = [(i, f"http://{rng.choice(['a.com', 'b.org', 'example.org', 'c.net'])}/{rng.choice(['fr', 'de', 'es', 'en'])}/{''.join(rng.choices('abcdé?#&', k=rng.randint(0, 9)))}") for i in range(300)] + [(300, None), (301, ""), (302, "no scheme")]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), head=head).collect()}
+    scores, threshold = expected_scores(rows, urls.ORDER)
+    assert {i for i, r in got.items() if r.rule is None} == set(scores) and len(scores) > 50
+    for i, score in scores.items():
+        assert got[i].score == pytest.approx(score, abs=1e-9) and got[i].threshold == pytest.approx(threshold)
+        assert got[i].verdict == ("allow" if score >= threshold else "block")
+    assert {got[i].verdict for i in scores} == {"allow", "block"}
 
 
 def test_url_model_is_a_distribution(spark):
