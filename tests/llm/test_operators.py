@@ -178,6 +178,18 @@ def expected_hits(text, bench):
     return len(words), len(hit), sorted(items), len(hit) > 0 and 20 * len(hit) >= len(words)
 
 
+def test_hash_table():
+    """Every window is within the longest probe of its home slot, also where slots collide."""
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 50, 3000):
+        codes = np.unique(rng.integers(-(1 << 62), 1 << 62, n) >> 3 << 3)  # homes at each eighth slot only
+        table, second, free, mask, longest = decontam._table(codes, codes + 1)
+        for c in codes.tolist():
+            at = (c & mask) + np.flatnonzero(table[(c & mask) : (c & mask) + longest + 1] == c)
+            assert len(at) == 1 and second[at[0]] == c + 1
+        assert free not in codes.tolist() and (table != free).sum() == len(codes)
+
+
 @pytest.mark.parametrize("most", [60_000, 3])
 def test_decontamination(spark, most):
     """A benchmark beyond the bound is joined, with the same result."""
@@ -192,9 +204,11 @@ def test_decontamination(spark, most):
 
 
 def test_decontamination_spans_and_empty(spark):
+    """Spans are cut out alike on both sides of the bound."""
     docs, none = docs_frame(spark, [(1, "keep this short item three and that"), (2, None)]), docs_frame(spark, [])
     bench = spark.createDataFrame(bench_rows(), "item_id long, text string")
-    assert {r.doc_id: r.text for r in decontam.decontaminate(docs, bench, "spans").collect()} == {1: "keep this and that", 2: None}
+    for most in (60_000, 3):
+        assert {r.doc_id: r.text for r in decontam.decontaminate(docs, bench, "spans", max_windows=most).collect()} == {1: "keep this and that", 2: None}
     assert decontam.scan(none, bench).count() == 0
     assert decontam.scan(docs, bench.limit(0)).where("contaminated").count() == 0
 
