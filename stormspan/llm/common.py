@@ -206,7 +206,38 @@ def lower_table() -> np.ndarray:
 
 
 def words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words between ASCII white space: 64-bit hash, start, end, and for each document the index of its first word (one more at the end)."""
+    """Words between ASCII white space: 64-bit hash, start, end, and for each document the index of its first word (one more at the end).
+
+    Long runs are taken block by block between white space, so only the words' own numbers grow with a text.
+    """
+    if len(raw) <= 2 * SLICE_BYTES:
+        return _words(raw, offsets, lower)
+    parts, at = [], 0
+    for part in blocks(raw, SLICE_BYTES):
+        inner = offsets[(offsets > at) & (offsets < at + len(part))] - at
+        h, starts, ends, _ = _words(part, np.concatenate(([0], inner, [len(part)])), lower)
+        parts.append((h, starts + at, ends + at))
+        at += len(part)
+    h, starts, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return h, starts, ends, np.searchsorted(starts, offsets)
+
+
+def blocks(raw: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """A text in blocks of about `most` bytes that end before ASCII white space."""
+    space, at = is_space_table(), 0
+    while at < len(raw):
+        to = min(at + most, len(raw))
+        while to < len(raw):
+            found = np.flatnonzero(space[raw[to : to + (1 << 16)]])
+            if len(found):
+                to += int(found[0])
+                break
+            to = min(to + (1 << 16), len(raw))
+        yield raw[at:to]
+        at = to
+
+
+def _words(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     if not len(raw):
         none = np.zeros(0, np.int64)
         return np.zeros(0, U64), none, none, np.zeros(len(offsets), np.int64)

@@ -6,11 +6,12 @@ frequency. Weights are trained with follow-the-regularised-leader (proximal, ela
 probabilities are calibrated by one temperature, fitted on a fifth of the sample that the weights never see.
 
 Document frequencies cover all documents that may be learned from; they leave a task as one row for each bucket. Weights
-are fitted on a sample of at most about `max_train` of them, shared evenly by the languages. A prediction reads the whole
+are fitted on a sample of at most about `max_train` of them, shared evenly by the languages, or of `MIN_PER_LANG` for each
+language if that is more; a language adds 131 kB of weights. A prediction reads the whole
 text, in time proportional to its length, and nothing but the text.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; so is everything if there is nothing to learn
-from; languages beyond the `max_langs` most frequent aren't learned; repeated rows are predicted each for itself; other
+from; every language that occurs is learned; repeated rows are predicted each for itself; other
 columns are not read.
 """
 
@@ -29,7 +30,10 @@ BITS = 15
 LENGTHS = (1, 2, 3)
 SCALE = 30.0
 MAX_TRAIN = 2000
-MAX_LANGS = 200
+#: A language is learned from so many documents at least, if it has them, however many languages there are.
+MIN_PER_LANG = 8
+#: Weights looked up at once in a prediction.
+HELD = 1 << 20
 
 def tables() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: lower case (a space for what isn't a letter), and whether it is a letter."""
@@ -158,10 +162,10 @@ def temperature(scores: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def fit(docs: DataFrame, learn: Column, bits: int = BITS, max_train: int = MAX_TRAIN, max_langs: int = MAX_LANGS) -> tuple[list[str], np.ndarray, float]:
+def fit(docs: DataFrame, learn: Column, bits: int = BITS, max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray, float]:
     """Languages, weights (idf included) and temperature from the rows (doc_id, text, lang) that `learn` allows."""
     known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    found = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    found = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
     langs = sorted(r.lang for r in found)
     if not langs:
         return [], np.zeros((1 << bits, 0), np.float32), 1.0
@@ -171,9 +175,11 @@ def fit(docs: DataFrame, learn: Column, bits: int = BITS, max_train: int = MAX_T
     for r in df:
         if r.bucket >= 0:
             idf[r.bucket] = np.log((1 + n_docs) / (1 + r.n)) + 0.05
-    share = F.create_map(*[F.lit(x) for r in found for x in (r.lang, min(1.0, max_train / len(langs) / r.n))])
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1_000_000)) / 1e6
-    sample = known.where(draw < F.try_element_at(share, F.col("lang"))).select("doc_id", "text", "lang").limit(2 * max_train)
+    each = max(MIN_PER_LANG, max_train / len(langs))
+    shares_of = docs.sparkSession.createDataFrame([(r.lang, min(1.0, each / r.n)) for r in found], "_lang string, _share double")
+    drawn = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(11))
+    sample = known.join(F.broadcast(shares_of), F.col("lang") == F.col("_lang")).where(F.pmod(drawn, F.lit(1_000_000)) / 1e6 < F.col("_share"))
+    sample = sample.orderBy(drawn, "doc_id", "lang").limit(2 * int(each * len(langs))).select("doc_id", "text", "lang")
     rows = arrow_map(sample, shares(bits), "doc_id long, lang string, ids array<int>, vals array<float>").collect()
     place = {x: i for i, x in enumerate(langs)}
     data = [(i := np.asarray(r.ids), np.asarray(r.vals, np.float64) * idf[i] * SCALE, place[r.lang]) for r in sorted(rows, key=lambda r: (r.doc_id, r.lang))]
@@ -194,7 +200,11 @@ def predictor(model, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             scores, total = np.zeros((len(keys), len(langs))), np.zeros(len(keys))
             for n, b in buckets(lower[points], bits) if langs else ():
                 ends = np.maximum(offs[1:] - n + 1, offs[:-1])
-                scores += segment_sums(w[b], offs[:-1], ends)
+                step = max(1, HELD // len(langs))
+                for at in range(0, len(b), step):  # bounded, however long a text and however many languages
+                    to = min(at + step, len(b))
+                    own = slice(int(np.searchsorted(ends, at, side="right")), int(np.searchsorted(offs[:-1], to)))
+                    scores[own] += segment_sums(w[b[at:to]], np.clip(offs[:-1][own], at, to) - at, np.clip(ends[own], at, to) - at)
                 total += ends - offs[:-1]
             best, top = np.full(len(keys), len(langs)), np.zeros(len(keys))
             has = (letters > 0) & bool(langs)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stormspan.llm.common import arrow_map, forget, id_in, id_out, is_space_table, kept, materialize, text_slices
+from stormspan.llm.common import arrow_map, blocks, forget, id_in, id_out, is_space_table, kept, materialize, text_slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -155,21 +155,6 @@ def encoder(path: str) -> Encoder:
     return kept()[key]
 
 
-def blocks(raw: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[np.ndarray]:
-    """A long text in blocks that end before ASCII white space."""
-    space, at = is_space_table(), 0
-    while at < len(raw):
-        to = min(at + most, len(raw))
-        while to < len(raw):
-            found = np.flatnonzero(space[raw[to : to + (1 << 16)]])
-            if len(found):
-                to += int(found[0])
-                break
-            to = min(to + (1 << 16), len(raw))
-        yield raw[at:to]
-        at = to
-
-
 def cutter(path: str, capacity: int, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -178,7 +163,7 @@ def cutter(path: str, capacity: int, end_id: int) -> Callable[[Iterator[pa.Recor
         enc, node, seen = encoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for keys, raw, offsets in text_slices(batches, "doc_id", "text", BLOCK_BYTES):
             if len(raw) > 2 * BLOCK_BYTES:  # one long document
-                parts = [enc.ids(part, np.array([0, len(part)]), end_id)[0][:-1] for part in blocks(raw)]
+                parts = [enc.ids(part, np.array([0, len(part)]), end_id)[0][:-1] for part in blocks(raw, BLOCK_BYTES)]
                 ids = np.concatenate([*parts, np.array([end_id], "<u4")])
                 cuts = np.array([0, len(ids)])
             else:

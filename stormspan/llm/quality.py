@@ -67,10 +67,10 @@ def lengths_of(batch: pa.RecordBatch) -> np.ndarray:
     return np.nan_to_num(batch.column("length").fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64))
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     for batch in batches:
         lengths, at = lengths_of(batch), 0
-        for keys, raw, offsets in text_slices(iter([batch]), "doc_id", "text"):
+        for keys, raw, offsets in text_slices(iter([batch]), "doc_id", text):
             yield keys, raw, offsets, lengths[at : at + len(keys)]
             at += len(keys)
 
@@ -148,11 +148,13 @@ def fit(rows: DataFrame, labels: DataFrame, learn: Column, bits: int = BITS, ran
         machine.bias, machine.v[:] = float(np.log((share + 1e-3) / (1 - share + 1e-3))), 0
         return machine
     part = {k: min(1.0, max_train / 2 / n) for k, n in counts.items()}
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(13)), F.lit(1_000_000)) / 1e6
-    sample = agreed.where(draw < F.when(F.col("label") == 1, part[1]).otherwise(part[0])).limit(2 * max_train).select(F.col("doc_id").alias("_key"), "label")
-    known = dict(sample.collect())
+    drawn = F.xxhash64(F.col("doc_id"), F.lit(13))
+    sample = agreed.where(F.pmod(drawn, F.lit(1_000_000)) / 1e6 < F.when(F.col("label") == 1, part[1]).otherwise(part[0]))
+    known = dict(sample.orderBy(drawn, "doc_id").limit(2 * max_train).select(F.col("doc_id").alias("_key"), "label").collect())
     keys = rows.sparkSession.createDataFrame(list(known.items()), "_key long, label int")
-    found = rows.join(F.broadcast(keys.select("_key")), F.col("doc_id") == F.col("_key"), "left_semi").limit(4 * max_train)
+    # One text for each label: of rows with equal id that whose text has the smallest hash.
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "length")).alias("one")
+    found = rows.join(F.broadcast(keys.select("_key")), F.col("doc_id") == F.col("_key"), "left_semi").groupBy("doc_id").agg(one).select("doc_id", "one.text", "one.length")
     got = sorted(arrow_map(found, extractor(bits), "doc_id long, ids array<int>, vals array<float>, stats array<double>").collect(), key=lambda r: (r.doc_id, r.stats))
     if not got:
         machine.v[:] = 0
@@ -174,13 +176,13 @@ def scorer(model, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return score
 
 
-def filterer(model, bits: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def filterer(model, bits: int, least: float, text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget("encoder")
         for batch in batches:
-            good = [model.value.score(len(keys), *features(raw, offsets, lengths, bits)) >= least for keys, raw, offsets, lengths in slices(iter([batch]))]
+            good = [model.value.score(len(keys), *features(raw, offsets, lengths, bits)) >= least for keys, raw, offsets, lengths in slices(iter([batch]), text)]
             if good:
-                names = [n for n in batch.schema.names if n not in ("doc_id", "text", "length")]
+                names = [n for n in batch.schema.names if n not in ("doc_id", "length")]
                 yield batch.select(names).filter(pa.array(np.concatenate(good)))
 
     return keep
@@ -206,5 +208,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, learn: Column, least: float =
     names = docs.columns
     both = docs.toDF(*[f"c{i}" for i in range(len(names))])
     own = dict(zip(names, both.columns, strict=True))
-    kept = arrow_map(both.select(*both.columns, *_rows(both, own[id_col], own[text_col], own.get(length_col) if length_col else None)), filterer(model, bits, least), both.schema)
+    key, _, size = _rows(both, own[id_col], own[text_col], own.get(length_col) if length_col else None)
+    kept = arrow_map(both.select(*both.columns, key, size), filterer(model, bits, least, own[text_col]), both.schema)
     return kept.toDF(*names)
