@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def window_share(t_len: Column, delta: int, tau: int, sym: bool = False) -> Column:
+def window_share(t_len: Column, delta: int | Column, tau: int, sym: bool = False) -> Column:
     """Share of a series that a coincidence window covers; null where it can't be a probability's base."""
-    share = F.try_divide(F.lit(2 * delta + 1.0), t_len) if sym else F.try_divide(F.lit(delta + 1.0), t_len - tau)
+    delta = delta if isinstance(delta, Column) else F.lit(delta)
+    share = F.try_divide(2 * delta + 1.0, t_len) if sym else F.try_divide(delta + 1.0, t_len - tau)
     return F.when((share >= 0) & (share <= 1), share)
 
 
-def success_probability(t_len: Column, n_other: Column, delta: int, tau: int, sym: bool = False) -> Column:
+def success_probability(t_len: Column, n_other: Column, delta: int | Column, tau: int, sym: bool = False) -> Column:
     """Chance that an event meets one of n_other events placed at random."""
     return 1 - F.pow(1 - window_share(t_len, delta, tau, sym), n_other)
 

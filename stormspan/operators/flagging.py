@@ -89,9 +89,12 @@ def percentile_rank(values: DataFrame, keys: Sequence[str], value: float) -> Dat
 def matched_thresholds(values: DataFrame, keys: Sequence[str], period: str, baseline: str, fixed: float) -> DataFrame:
     """keys, period, base_rank and threshold: each period's value at the percentile rank that `fixed` has in the baseline period."""
     base = percentile_rank(values.where(F.col(period) == baseline), keys, fixed).withColumnRenamed("rank", "base_rank")
-    ordered = values.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy(*keys, period).agg(F.array_sort(F.collect_list("value")).alias("_v"))
-    at = F.expr("(size(_v) - 1) * base_rank / 100")
-    low = F.floor(at).cast("int")
-    value = F.expr("element_at(_v, cast(floor((size(_v) - 1) * base_rank / 100) as int) + 1)")
-    upper = F.expr("element_at(_v, least(cast(floor((size(_v) - 1) * base_rank / 100) as int) + 2, size(_v)))")
-    return ordered.join(base, list(keys)).select(*keys, period, "base_rank", (value + (upper - value) * (at - low)).alias("threshold"))
+    known = values.where(F.col("value").isNotNull() & ~F.isnan("value")).select(*keys, period, "value")
+    group = Window.partitionBy(*keys, period)
+    placed = known.withColumns({"_i": F.row_number().over(group.orderBy("value")) - 1, "_n": F.count("*").over(group)}).join(base, list(keys))
+    at = (F.col("_n") - 1) * F.col("base_rank") / 100
+    low = F.floor(at)
+    near = placed.withColumns({"_low": low, "_part": at - low}).where(F.col("_i").between(F.col("_low"), F.col("_low") + 1))
+    value = F.max(F.when(F.col("_i") == F.col("_low"), F.col("value")))
+    upper = F.max("value")  # of one or two neighbours in order
+    return near.groupBy(*keys, period, "base_rank").agg((value + (upper - value) * F.max("_part")).alias("threshold"))

@@ -68,15 +68,15 @@ def ensemble_summary(events: DataFrame, member: str = "ensemble") -> DataFrame:
     return counts.groupBy("year").agg(F.avg("n").alias("mean"), F.min("n").alias("min"), F.max("n").alias("max"), F.median("n").alias("median"), F.count_if(F.col("n") > 0).alias("n_members"))
 
 
-def annual_counts(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """by, year, n: years without events are absent."""
-    return events.groupBy(*by, "year").agg(F.count("*").alias("n"))
+def annual_counts(events: DataFrame, by: Sequence[str] = (), count: str | None = None) -> DataFrame:
+    """by, year, n: years without events are absent. count: a column of counts, if the table holds these and not events."""
+    return events.groupBy(*by, "year").agg((F.sum(count) if count else F.count("*")).alias("n"))
 
 
-def member_counts(events: DataFrame, members: DataFrame, years: DataFrame, member: str = "ensemble") -> DataFrame:
+def member_counts(events: DataFrame, members: DataFrame, years: DataFrame, member: str = "ensemble", count: str | None = None) -> DataFrame:
     """member, year, n over all given members and years; members without events count."""
     full = members.select(member).distinct().join(F.broadcast(years.select("year").distinct()), F.lit(True))
-    return full.join(annual_counts(events, [member]), [member, "year"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return full.join(annual_counts(events, [member], count), [member, "year"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
 def rolling_mean(counts: DataFrame, by: Sequence[str], window: int, whole: bool, value: str = "n", name: str = "rolling") -> DataFrame:
@@ -127,3 +127,15 @@ def agreement(windows: DataFrame, baseline: str, future: str, names: dict[str, s
 def join_regions(regions: DataFrame, summary: DataFrame, key: str = "geo_region", columns: Sequence[str] = ()) -> DataFrame:
     """Region polygons with their summary; rows that lack one of the columns are dropped."""
     return regions.join(summary, F.col(key) == F.col("Region")).dropna(subset=list(columns) or None)
+
+
+def pivoted(cells: DataFrame, rows: Sequence[str], column: str, value: str, columns: Sequence[object], empty: object = None) -> DataFrame:
+    """A matrix: rows, and a column for each of the given values of `column`; cells that aren't there hold `empty`."""
+    out = cells.groupBy(*rows).pivot(column, list(columns)).agg(F.first(value))
+    return out if empty is None else out.fillna(empty, [str(c) for c in columns])
+
+
+def hover_text(table: DataFrame, shown: dict[str, str], name: str = "hover") -> DataFrame:
+    """Adds a text of lines `label: value` (values that are missing are left out) for the labels and columns given."""
+    lines = [F.concat(F.lit(f"{label}: "), F.col(c).cast("string")) for label, c in shown.items()]
+    return table.withColumn(name, F.concat_ws("<br>", *lines))

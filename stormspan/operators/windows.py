@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormspan.functions.calendar import calendar_block, periods_table
@@ -50,17 +50,16 @@ def analyse_windows(series: DataFrame, keys: Sequence[str], config: WindowConfig
     thermo = matched_thresholds(days, keys, "period", config.baseline, config.fixed_threshold).select(*keys, "period", "threshold")
     regimes = F.explode(F.array(F.struct(F.lit("fixed").alias("regime"), F.lit(float(config.fixed_threshold)).alias("threshold")), F.struct(F.lit("thermodynamic").alias("regime"), F.col("threshold"))))
     limits = thermo.select(*keys, "period", regimes.alias("r")).select(*keys, "period", "r.regime", "r.threshold")
-    full = [*keys, "period", "regime"]
+    full = [*keys, "period", "regime", "threshold"]
     day = days.join(limits, [*keys, "period"]).withColumn("block", calendar_block(F.col("year"), F.col("month"), config.months) if config.year_blocked else F.lit(0))
     detect = config.detector or (lambda d, k, limit, n: flag_extremes(d, k, limit, n))
     marked = detect(day, full, F.col("threshold"), config.spell).withColumns({"a": F.col("event"), "b": F.col("event")})
     bands = coincidence.null_band(marked, full, config.delta, config.tau, False, config.null_model, *config.band)
-    found = bands.join(limits, full)
-    fixed = found.where("regime = 'fixed'").select(*keys, "period", F.col("k_trigg").alias("_kf"))
-    out = found.join(fixed, [*keys, "period"])
+    fixed = F.max(F.when(F.col("regime") == "fixed", F.col("k_trigg"))).over(Window.partitionBy(*keys, "period"))
+    out = bands.withColumn("_kf", fixed)
     thermodynamic = F.col("regime") == "thermodynamic"
     shown = F.when(thermodynamic & F.lit(config.thermo_points == "fixed"), F.col("_kf")).otherwise(F.col("k_trigg"))
-    return out.select(*full, "threshold", shown.alias("k_trig"), "band_lo", "band_hi", (shown > F.col("band_hi")).cast("int").alias("significant"), F.when(thermodynamic, F.col("_kf")).alias("k_trig_fixed"), F.when(thermodynamic, F.col("k_trigg")).alias("k_trig_thermo"))
+    return out.select(*full, shown.alias("k_trig"), "band_lo", "band_hi", (shown > F.col("band_hi")).cast("int").alias("significant"), F.when(thermodynamic, F.col("_kf")).alias("k_trig_fixed"), F.when(thermodynamic, F.col("k_trigg")).alias("k_trig_thermo"))
 
 
 def rolling_coincidence(series: DataFrame, keys: Sequence[str], periods: Sequence[str], delta: int = 4, tau: int = 1, null_model: str = "pooled") -> DataFrame:

@@ -344,11 +344,6 @@ def eca_null_band_blocked(spark, d):
     return rounded(coincidence.null_band(self_ab(spark, d), ER, 1, 1, null_model="blocked"), band_lo=6, band_hi=6)
 
 
-@query()
-def eca_shuffle(spark, d):
-    return coincidence.shuffle_test(pair_ab(spark, d), R, 1, 1, reps=50)
-
-
 # --- compound events --------------------------------------------------------------------------------------------------
 
 

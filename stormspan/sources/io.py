@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from stormspan.functions.calendar import normal_label, season_months
 
+# Workers receive the code of this package with each job that runs user functions, so a cluster needs no separate installation.
+cloudpickle.register_pickle_by_value(sys.modules["stormspan"])
+
 SERIES = "ensemble string, region string, variable string, idx int, yyyymmdd string, year int, month int, value double"
 
 
@@ -38,6 +44,15 @@ def missing_members(series: DataFrame, ensembles: Sequence[str], regions: Sequen
     return want.join(series.select(*keys).distinct(), keys, "left_anti")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that all executors share (spark.checkpoint.dir, or else the warehouse)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/scratch/{uuid.uuid4().hex}/{name}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def write_series(series: DataFrame, path: str) -> None:
     series.write.mode("overwrite").partitionBy("ensemble", "region").parquet(path)
 
@@ -63,9 +78,20 @@ def files_of_years(paths: Sequence[str], first: int, last: int) -> list[str]:
     return sorted(p for p in paths if (span := year_span(p)) is None or (span[0] <= last and span[1] >= first))
 
 
-def read_fields(spark: SparkSession, paths: Sequence[str], days: DataFrame | None = None) -> DataFrame:
-    """Fields of several Parquet tables by column name; with days (member, yyyymmdd) only these."""
+def read_fields(spark: SparkSession, paths: Sequence[str], days: DataFrame | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None, variable: str | None = None) -> DataFrame:
+    """Fields of several Parquet tables by column name; with days (member, yyyymmdd) only these.
+
+    prepare is applied to each table as it is read. Tables with a column `variable` must hold one variable in all; if they
+    hold several, one must be named.
+    """
     tables = [spark.read.parquet(p) for p in paths]
+    if variable is not None:
+        tables = [t.where(F.col("variable") == variable) for t in tables]
+    elif any("variable" in t.columns for t in tables):
+        found = sorted({r[0] for t in tables if "variable" in t.columns for r in t.select("variable").distinct().limit(2).collect()})
+        if len(found) > 1:
+            raise ValueError(f"there are several variables, such as {found}; name one")
+    tables = [prepare(t) for t in tables] if prepare else tables
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
     return out if days is None else out.join(days.select("member", "yyyymmdd").distinct(), ["member", "yyyymmdd"], "left_semi")
 
@@ -163,6 +189,22 @@ def array_detector(detect: Callable[[np.ndarray, int, float], np.ndarray]) -> Ca
     return run
 
 
+def table_detector(detect: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> Callable[[DataFrame, Sequence[str]], DataFrame]:
+    """Makes a detector that gives event tables (keys and the columns of schema) from a function of one key's days, which come in order."""
+
+    def run(series: DataFrame, keys: Sequence[str]) -> DataFrame:
+        keys = list(keys)
+
+        def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            out = detect(frame.sort_values("idx"))
+            return out.assign(**dict(zip(keys, key, strict=True)))[[*keys, *out.columns]]
+
+        kinds = ", ".join(f"`{c}` {series.schema[c].dataType.simpleString()}" for c in keys)
+        return series.groupBy(*keys).applyInPandas(one, f"{kinds}, {schema}")
+
+    return run
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path
