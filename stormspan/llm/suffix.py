@@ -1,25 +1,25 @@
 """Suffix-array dedup of byte strings by longest previous factors.
 
-A position has a previous factor of `length` bytes if the string of that length that starts there also starts at an
-earlier position. In suffix order, truncated at `length` with ties by position, the longest previous factor of a position
-is reached at its previous or next smaller position; one of the full length exists if and only if the previous suffix in
-that order starts with the same `length` bytes, so only neighbours need comparing. Mode `first` removes bytes covered by
-previous factors, which keeps the first copy; mode `all` also takes the factors that come later (next suffix), which
-removes every copy.
+The longest previous factor of a position is the longest string that starts there and also at an earlier position. In
+suffix order it is reached at the previous or the next smaller position, so it follows from these two and the smallest
+common prefix on the way (`longest_previous`). A position whose factor has `length` bytes or more repeats earlier text.
+Mode `first` removes the bytes of such factors, which keeps the first copy; mode `all` also takes longest next factors (the
+same with positions reversed), which removes every copy.
 
 Corpus-wide suffix order is found piecewise. Each string of `length` bytes selects the smallest hash of its `gram`-byte
 strings; equal strings select equal anchors, so positions with different anchors never need comparing. Consecutive starts
 with one anchor form a block. A count-min sketch of anchors leaves blocks whose anchor may be repeated; these go to their
-anchor's task with the bytes they span. There, sparse suffix order over block starts settles blocks that occur whole more
-than once; then the suffixes of all starts in the anchor's remaining blocks are ordered.
+anchor's task with the bytes they span. There, factors in the sparse suffix order of block starts settle blocks that occur
+whole more than once; then factors in the suffix order of all starts in the anchor's remaining blocks settle the rest.
 
-Skew: a task first merges its own equal blocks and passes on one of them, so copies in a third of all documents give a
-row for each task. Anchors estimated to occur `HOT` times or more (edges of a popular passage) are dealt by whole string
-instead, as 128-bit fingerprints, again merged before they leave. So an anchor's task holds few blocks.
+Skew: a task first merges its own equal blocks, compared byte by byte, and passes on one of them, so copies in a third of
+all documents give a row for each task. Anchors estimated to occur `HOT` times or more (edges of a popular passage) are
+dealt by whole string instead, as 128-bit fingerprints, again merged before they leave; two different strings of a corpus
+of n such starts have equal ones with a chance of about n * n / 2**129. So an anchor's task holds few blocks.
 
 Defined cases: null texts have no bytes; texts shorter than `length` lose nothing; rows with equal id and text are
-judged alike (mode `first` takes them for one, mode `all` removes both); null ids come last; an empty table gives no
-rows; other columns are not read.
+judged alike (mode `first` takes them for one, mode `all` removes both); null ids come last; a very long text is taken in
+overlapping parts; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormspan.llm.common import U64, Carried, arrow_map, forget, id_in, id_out, longs, mix, powers, seeded, sliding_min, text_slices
+from stormspan.llm.common import SLICE_BYTES, U64, Carried, arrow_map, forget, id_in, id_out, longs, mix, powers, seeded, sliding_min, text_slices
 from stormspan.llm.sketch import sketch
 from stormspan.llm.substring import changes, marked, runs
 
@@ -40,48 +40,33 @@ LENGTH = 200
 GRAM = 48
 HOT = 200
 LONGEST_BLOCK = 512
-FLUSH_BYTES = 20 << 20
+FLUSH_BYTES = 12 << 20
 ROW = "anchor long, doc_id long, tid long, pos int, n int, repeated boolean, done boolean, own binary"
 NAMES = ["anchor", "doc_id", "tid", "pos", "n", "repeated", "done", "own"]
 
 
-def suffix_array(text: bytes) -> np.ndarray:
-    """Starts of all suffixes in order, by prefix doubling."""
-    rank = np.frombuffer(text, np.uint8).astype(np.int64)
-    size, n = 1, len(rank)
-    while True:
-        second = np.full(n, -1, np.int64)
-        second[: max(0, n - size)] = rank[size:]
-        order = np.lexsort((second, rank))
-        new = np.ones(n, bool)
-        new[1:] = (rank[order][1:] != rank[order][:-1]) | (second[order][1:] != second[order][:-1])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
-        if n == 0 or new.all():
-            return order
-        size *= 2
-
-
-def previous_factors(text: bytes) -> list[int]:
-    """The longest previous factor of each position of one string, from its previous and next smaller positions in suffix order."""
-    order = suffix_array(text).tolist()
-
-    def common(i: int, j: int) -> int:
-        k = 0
-        while max(i, j) + k < len(text) and text[i + k] == text[j + k]:
-            k += 1
-        return k
-
-    out = [0] * len(text)
-    for walk in (order, order[::-1]):
-        smaller: list[int] = []
-        for at in walk:
-            while smaller and smaller[-1] > at:
-                smaller.pop()
-            if smaller:
-                out[at] = max(out[at], common(at, smaller[-1]))
-            smaller.append(at)
-    return out
+def longest_previous(position: np.ndarray, shared: np.ndarray, least: int = 1) -> np.ndarray:
+    """For suffixes in order, of which the k-th starts at position[k] and has shared[k] bytes in common with the one before: the longest common prefix of each with any that starts at a smaller position.
+
+    Walks to the previous and to the next smaller position by pointer jumping. Factors shorter than `least` may be given as 0.
+    """
+
+    def walk(position: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        to, common = np.arange(-1, len(position) - 1), shared.copy()
+        open_ = np.arange(1, len(position))
+        while len(open_):
+            open_ = open_[(to[open_] >= 0) & (common[open_] >= least)]
+            open_ = open_[position[to[open_]] >= position[open_]]
+            over = to[open_]
+            common[open_], to[open_] = np.minimum(common[open_], common[over]), to[over]
+        common[(to < 0) | (common < least)] = 0
+        return common
+
+    if not len(position):
+        return np.zeros(0, np.int64)
+    first = np.concatenate(([0], shared[1:]))
+    back = np.concatenate(([0], shared[1:][::-1]))
+    return np.maximum(walk(position, first), walk(position[::-1], back)[::-1])
 
 
 def sums(raw: np.ndarray, seed: int) -> np.ndarray:
@@ -105,9 +90,20 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tup
     return at, least[at], grams
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], length: int, also: str | None = None, limit: int = SLICE_BYTES) -> Iterator[tuple]:
+    """Runs of documents as text_slices gives them, and where the run begins in its text: a long text comes in parts that overlap by length - 1 bytes, so each string is in one of them."""
+    for keys, raw, offsets, *more in text_slices(batches, "doc_id", "text", limit, also):
+        if len(raw) <= 2 * limit:
+            yield keys, raw, offsets, 0, *more
+            continue
+        for at in range(0, len(raw) - length + 1, limit):
+            part = raw[at : at + limit + length - 1]
+            yield keys, part, np.array([0, len(part)]), at, *more
+
+
 def hasher(length: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]:
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for _, raw, offsets in text_slices(batches, "doc_id", "text", 1 << 20):
+        for _, raw, offsets, _ in parts_of(batches, length):
             at, least, grams = anchors(raw, offsets, length, gram)
             # a place is an anchor if it is the smallest of some string that it is in; a text that repeats itself counts each
             n = length - gram
@@ -128,6 +124,9 @@ def emitter(model, length: int, gram: int, keep_first: bool) -> Callable[[Iterat
         same = np.zeros(len(order), bool)
         f1, f2, doc, tid, pos = f1[order], f2[order], doc[order], tid[order], pos[order]
         same[1:] = (f1[1:] == f1[:-1]) & (f2[1:] == f2[:-1])
+        own = own[order]
+        like = np.flatnonzero(same)
+        same[like] = own[like] == own[like - 1]
         start = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
         later = (doc != doc[start]) | (tid != tid[start]) | (pos != pos[start])
         several = np.zeros(len(order), bool)
@@ -138,7 +137,7 @@ def emitter(model, length: int, gram: int, keep_first: bool) -> Callable[[Iterat
         k = np.flatnonzero(passed)
         for at in range(0, len(k), 20_000):
             part = k[at : at + 20_000]
-            yield pa.RecordBatch.from_arrays([longs(anchor[order][part]), longs(doc[part]), longs(tid[part]), pa.array(pos[part], pa.int32()), pa.array(n[order][part], pa.int32()), pa.array(several[part] & (not keep_first)), pa.array(np.zeros(len(part), bool)), pa.array(own[order][part].tolist(), pa.binary())], NAMES)
+            yield pa.RecordBatch.from_arrays([longs(anchor[order][part]), longs(doc[part]), longs(tid[part]), pa.array(pos[part], pa.int32()), pa.array(n[order][part], pa.int32()), pa.array(several[part] & (not keep_first)), pa.array(np.zeros(len(part), bool)), pa.array(own[part].tolist(), pa.binary())], NAMES)
 
     def runs_of(doc: np.ndarray, tid: np.ndarray, pos: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         d, t, p, n = runs(np.repeat(doc, n), np.repeat(tid, n), np.repeat(pos, n) + ramp(n))
@@ -147,7 +146,7 @@ def emitter(model, length: int, gram: int, keep_first: bool) -> Callable[[Iterat
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget("encoder")
         held, size = [], 0
-        for keys, raw, offsets, tids in text_slices(batches, "doc_id", "text", 1 << 20, also="tid"):
+        for keys, raw, offsets, base, tids in parts_of(batches, length, "tid"):
             at, least, _ = anchors(raw, offsets, length, gram)
             new = np.flatnonzero(changes(at, least))
             if not len(new):
@@ -167,13 +166,13 @@ def emitter(model, length: int, gram: int, keep_first: bool) -> Callable[[Iterat
             f1, f2 = prints(start, start + n + length - 1)
             own = [data[a:b] for a, b in zip(start.tolist(), (start + n + length - 1).tolist(), strict=True)]
             place = np.searchsorted(offsets, start, side="right") - 1
-            held.append((np.repeat(least[new[cold]], reps), keys[place], tids[place], start - offsets[place], n, f1, f2, own))
+            held.append((np.repeat(least[new[cold]], reps), keys[place], tids[place], start - offsets[place] + base, n, f1, f2, own))
             single = np.repeat(at[new[maybe & hot]], counts[maybe & hot]) + ramp(counts[maybe & hot])
             if len(single):
                 f1, f2 = prints(single, single + length)
                 place = np.searchsorted(offsets, single, side="right") - 1
                 marks = np.stack((f1, f2), 1).tobytes()
-                held.append((f1, keys[place], tids[place], single - offsets[place], np.ones(len(single), np.int64), f1, f2, [marks[k : k + 16] for k in range(0, len(marks), 16)]))
+                held.append((f1, keys[place], tids[place], single - offsets[place] + base, np.ones(len(single), np.int64), f1, f2, [marks[k : k + 16] for k in range(0, len(marks), 16)]))
             size += sum(map(len, own)) + 80 * len(single)
             if size >= FLUSH_BYTES:
                 yield from decide(held)
@@ -190,37 +189,28 @@ def ramp(n: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(n) else 0) - np.repeat(total - n, n)
 
 
-def factors(order_key: np.ndarray, strings: np.ndarray, keep_first: bool) -> np.ndarray:
-    """For strings in the order of their positions (order_key tells positions apart): which have an equal one before, or (not keep_first) anywhere."""
-    order = np.argsort(strings, kind="stable")
-    same = (strings[order][1:] == strings[order][:-1]) & ((order_key[order][1:] != order_key[order][:-1]) if keep_first else True)
-    out = np.zeros(len(strings), bool)
-    out[order[1:]] |= same
-    if not keep_first:
-        out[order[:-1]] |= same
-    return out
+def repeated(position: np.ndarray, shared: np.ndarray, least: int, keep_first: bool) -> np.ndarray:
+    """Which suffixes have a previous, or (not keep_first) also a next, factor of `least` bytes."""
+    out = longest_previous(position, shared, least) >= least
+    return out if keep_first else out | (longest_previous(-position, shared, least) >= least)
 
 
 def settle(rows: list[tuple], length: int, keep_first: bool) -> list[tuple[int, int, int, int]]:
     """Repeated starts (doc, tid, pos, n) of whole anchors' blocks: (anchor, doc, tid, pos, n, repeated, own) sorted by all but the last three."""
-    out: list[tuple[int, int, int, int]] = []
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][6], k))  # suffix order of block starts, ties by position
+    # Positions: in mode first, rows of equal id, text and place are one.
+    new = [True, *(keep_first is False or a[1:4] != b[1:4] for a, b in zip(rows, rows[1:], strict=False))]
+    place = np.cumsum(new)
+    # Sparse suffix order of block starts, ties by position: a block's factor is as long as the block, or else of no use here.
+    order = np.array(sorted(range(len(rows)), key=lambda k: rows[k][6]))
+    texts = [rows[k][6] for k in order.tolist()]
+    shared = np.array([0, *(a == b for a, b in zip(texts, texts[1:], strict=False))], np.int64)
+    again = np.empty(len(rows), bool)
+    again[order] = repeated(place[order], shared, 1, keep_first)
+    out = [rows[k][1:5] for k in np.flatnonzero(again).tolist()] if keep_first else [r[1:5] for r, x in zip(rows, again.tolist(), strict=True) if x or r[5]]
+    # One of each group stays for its anchor's other blocks; as ~k if its starts are known to be repeated.
     open_of: dict[int, list[int]] = {}
-    at = 0
-    while at < len(order):
-        to = at + 1
-        while to < len(order) and rows[order[to]][6] == rows[order[at]][6]:
-            to += 1
-        equal, first = order[at:to], rows[order[at]]
-        if keep_first:
-            out += [rows[k][1:5] for k in equal[1:] if rows[k][1:4] != first[1:4]]
-            open_of.setdefault(first[0], []).append(equal[0])
-        elif len(equal) > 1 or first[5]:
-            out += [rows[k][1:5] for k in equal]
-            open_of.setdefault(first[0], []).append(~equal[0])
-        else:
-            open_of.setdefault(first[0], []).append(equal[0])
-        at = to
+    for k in order[shared == 0].tolist():
+        open_of.setdefault(rows[k][0], []).append(~k if not keep_first and (again[k] or rows[k][5]) else k)
     held: list[int] = []
     size = 0
 
@@ -233,12 +223,15 @@ def settle(rows: list[tuple], length: int, keep_first: bool) -> list[tuple[int,
             key.append(np.stack((np.full(len(parts[-1]), max(k, ~k)), np.arange(len(parts[-1]))), 1))
         where = np.concatenate(key)
         strings = np.ascontiguousarray(np.concatenate(parts)).view(f"S{length}").ravel()
-        position = np.array([(*rows[k][1:3], rows[k][3] + j) for k, j in where.tolist()] if keep_first else [(0, 0, 0)] * len(where), np.int64)
-        _, place = np.unique(position, axis=0, return_inverse=True) if keep_first else (None, np.zeros(len(where), np.int64))
-        if keep_first:
-            by_place = np.argsort(place, kind="stable")
-            where, strings, place = where[by_place], strings[by_place], place[by_place]
-        hit = factors(place, strings, keep_first)
+        position = np.arange(len(where))
+        if keep_first:  # starts that two blocks have in common are one position
+            _, position = np.unique(np.array([(*rows[k][1:3], rows[k][3] + j) for k, j in where.tolist()], np.int64), axis=0, return_inverse=True)
+        order = np.lexsort((position, strings))
+        sorted_bytes = strings[order].view(np.uint8).reshape(-1, length)
+        unlike = sorted_bytes[1:] != sorted_bytes[:-1]
+        common = np.where(unlike.any(axis=1), unlike.argmax(axis=1), length)
+        hit = np.empty(len(where), bool)
+        hit[order] = repeated(position[order], np.concatenate(([0], common)), length, keep_first)
         fixed = {~k for k in held if k < 0}
         out.extend((*rows[k][1:3], rows[k][3] + j, 1) for k, j in where[hit].tolist() if k not in fixed)
 
@@ -254,7 +247,7 @@ def settle(rows: list[tuple], length: int, keep_first: bool) -> list[tuple[int,
             continue
         held += ks
         size += sum(rows[k][4] for k in own)
-        if size > 100_000:
+        if size > 50_000:
             dense()
             held, size = [], 0
     if held:
@@ -262,7 +255,7 @@ def settle(rows: list[tuple], length: int, keep_first: bool) -> list[tuple[int,
     return out
 
 
-def grouper(length: int, keep_first: bool, most: int = 12 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def grouper(length: int, keep_first: bool, most: int = 6 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Reads blocks sorted by anchor, id and position; holds whole anchors of about `most` bytes."""
         held: list[tuple] = []

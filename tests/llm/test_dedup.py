@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,13 +102,42 @@ def test_suffix_hot_anchors(spark, monkeypatch):
     assert plain == hot and plain[0] == 0 and plain[29] >= len(passage)
 
 
-def test_previous_factors():
+def common_prefix(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("least", [1, 4])
+def test_longest_previous_factors(least):
     rng = random.Random(3)
-    for _ in range(60):
-        text = bytes(rng.choices(b"ab", k=rng.randint(0, 30)))
-        want = [max((next((k for k in range(len(text) - i + 1) if i + k == len(text) or text[i + k] != text[j + k]), 0) for j in range(i)), default=0) for i in range(len(text))]
-        assert suffix.previous_factors(text) == want
-        assert suffix.suffix_array(text).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+    for _ in range(200):
+        text = "".join(rng.choices("ab", k=rng.randint(0, 40)))
+        order = sorted(range(len(text)), key=lambda i: text[i:])
+        shared = np.array([0, *(common_prefix(text[i:], text[j:]) for i, j in zip(order, order[1:], strict=False))][: len(text)], np.int64)
+        got = np.empty(len(text), np.int64)
+        got[order] = suffix.longest_previous(np.array(order, np.int64), shared, least)
+        want = [max((common_prefix(text[i:], text[j:]) for j in range(i)), default=0) for i in range(len(text))]
+        assert got.tolist() == [x if x >= least else 0 for x in want]
+
+
+def test_factors_decide(monkeypatch):
+    """What is removed follows from the factors, for whole blocks and for parts of them."""
+    rows = [(7, 1, 1, 0, 11, False, b"abcdefghijklmnopqrst"), (7, 2, 2, 5, 11, False, b"abcdefghijklmnopqrst"), (7, 3, 3, 0, 6, False, b"XYcdefghijklmno")]
+    assert sorted(suffix.settle(rows, 10, True)) == [(2, 2, 5, 11), *((3, 3, k, 1) for k in range(2, 6))]
+    assert sorted(suffix.settle(rows, 10, False)) == [(1, 1, 0, 11), (2, 2, 5, 11), *((3, 3, k, 1) for k in range(2, 6))]
+    monkeypatch.setattr(suffix, "longest_previous", lambda position, shared, least: np.zeros(len(position), np.int64))
+    assert suffix.settle(rows, 10, True) == []
+
+
+@pytest.mark.parametrize("mode", ["first", "all"])
+def test_suffix_long_texts(spark, mode, monkeypatch):
+    """A text in overlapping parts loses what it loses in one."""
+    rng = random.Random(9)
+    passage = "".join(rng.choices("abcdefgh ", k=500))
+    rows = [(k, "".join(rng.choices("abcdefgh ", k=rng.randint(100, 3000))) + passage[rng.randint(0, 200) :] + "".join(rng.choices("xyz", k=2000))) for k in range(12)]
+    whole = {r.doc_id: (r.n_removed, r.n_spans, r.kept) for r in suffix.dedup(frame(spark, rows), mode=mode).collect()}
+    monkeypatch.setattr(suffix, "parts_of", lambda batches, length, also=None, own=suffix.parts_of: own(batches, length, also, 700))
+    cut = {r.doc_id: (r.n_removed, r.n_spans, r.kept) for r in suffix.dedup(frame(spark, rows), mode=mode).collect()}
+    assert whole == cut and sum(x[0] for x in whole.values()) > 3000
 
 
 def test_remove_copies_keeps_columns_and_characters(spark):
