@@ -8,31 +8,45 @@ from pyspark.sql import functions as F
 from stormspan.llm.common import discard, materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _joined(edges: DataFrame, least: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """edges with the column m of their u, and the written table that holds it.
+
+    The minimum is written first: joined with its own aggregation, whose dealing it would share, a node with very many
+    neighbours couldn't be split by adaptive execution.
+    """
+    least = materialize(least, name)
+    return edges.join(least, "u"), least
+
+
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every neighbour larger than a node is linked to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    joined, least = _joined(both.where("v > u"), both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m")), "large")
+    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A node and its smaller neighbours are linked to the smallest of these."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    own = least.select("u", F.col("m").alias("v"))
-    return edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own)
+    joined, least = _joined(edges, edges.groupBy("u").agg(F.min("v").alias("m")), "small")
+    return joined.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))), least
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """From edges (u, v) the columns node and component (its smallest node) of every node that has an edge to another.
 
     Each round is written to the shared folder. A node with very many edges is never gathered: its minimum is aggregated
-    before the shuffle, and the join back may be split by adaptive execution. Loops and repeated edges do no harm.
+    before the shuffle, and adaptive execution may split the join back. Loops and repeated edges do no harm. The number of
+    rounds grows with the logarithm of a component's size; more than max_rounds are an error.
     """
     now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     for k in range(max_rounds):
-        before, now = now, materialize(_small_star(_large_star(now).distinct()).distinct(), f"stars{k}")
-        discard(before)
+        made, first = _large_star(now)
+        large = materialize(made.distinct(), f"large{k}")
+        made, second = _small_star(large)
+        before, now = now, materialize(made.distinct(), f"stars{k}")
+        for old in (before, first, large, second):
+            discard(old)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
