@@ -1,10 +1,12 @@
 """Count-min sketches over hashes: partial sketches of partitions, merged by ranges of cells, carried as bits.
 
-A sketch has DEPTH rows of 2**CELL_BITS saturating counters. A partition's part is sparse (its touched cells), so it is
-never larger than a share of the partition's own input. Parts are dealt by ranges of cells and added there; what leaves
-is one bit for each cell and level asked for: whether the counter reaches it. These bits (8 MB for each row and level,
-whatever the input) are what is broadcast. An estimate is never too low, so no repeated hash is missed; with far more
-distinct hashes than cells more hashes are taken for repeated, which costs work but loses nothing.
+A sketch has DEPTH rows of saturating counters. A partition's part is sparse (its touched cells, of 2**32 possible ones), so
+it is never larger than a share of the partition's own input. Parts are dealt by ranges of cells and added there. How many
+cells are touched then tells how many different hashes there are, and the cells are folded (neighbours added) to the
+power of two that leaves CELLS_PER_HASH or more for each, 2**MOST_BITS at most. What leaves is one bit for each cell and level
+asked for: whether the counter reaches it. These bits are broadcast, 2**MOST_BITS / 8 bytes (32 MB) for each row and
+level at most. An estimate is never too low, so no repeated hash is missed; with far more different hashes than cells more
+hashes are taken for repeated, which costs work but loses nothing.
 """
 
 from __future__ import annotations
@@ -15,12 +17,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from stormspan.llm.common import U64, arrow_map, mix, seeded
+from stormspan.llm.common import U64, arrow_map, discard, materialize, mix, seeded
 
 DEPTH = 2
-CELL_BITS = 26
-RANGE_BITS = 16
+CELL_BITS = 32
+RANGE_BITS = 22
+CELLS_PER_HASH = 5
+LEAST_BITS, MOST_BITS = 16, 28
 MOST = 250
 
 
@@ -35,7 +40,7 @@ def partial(hashes_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]
             cell, counts = np.unique(cells(together, row), return_counts=True)
             counts = np.minimum(counts, MOST).astype(np.uint8)
             cut = np.searchsorted(cell, np.arange((1 << (CELL_BITS - RANGE_BITS)) + 1, dtype=np.uint64) << np.uint64(RANGE_BITS))
-            places = (cell & ((1 << RANGE_BITS) - 1)).astype(np.uint16)
+            places = cell & np.uint32((1 << RANGE_BITS) - 1)
             has = np.flatnonzero(np.diff(cut))
             yield pa.RecordBatch.from_arrays([pa.array((row << 16) + has, pa.int32()), pa.array([places[cut[k] : cut[k + 1]].tobytes() for k in has], pa.binary()), pa.array([counts[cut[k] : cut[k + 1]].tobytes() for k in has], pa.binary())], ["part", "places", "counts"])
 
@@ -53,38 +58,56 @@ def partial(hashes_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]
     return run
 
 
-def merger(levels: tuple[int, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def done(part: int, total: np.ndarray) -> pa.RecordBatch:
-        bits = b"".join(np.packbits(total >= x, bitorder="little").tobytes() for x in levels)
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(bits, 1)], pa.binary())], ["part", "bits"])
+def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds parts that come sorted by range; the touched cells of each range and their counts leave."""
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Reads rows sorted by part."""
-        now, total = None, np.zeros(1 << RANGE_BITS, np.int32)
+    def done(part: int, total: np.ndarray) -> pa.RecordBatch:
+        held = np.flatnonzero(total).astype(np.uint32)
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(held)], pa.int64()), pa.array([held.tobytes()], pa.binary()), pa.array([total[held].tobytes()], pa.binary())], ["part", "n", "places", "counts"])
+
+    now, total = None, np.zeros(1 << RANGE_BITS, np.uint8)
+    for batch in batches:
+        for part, places, counts in zip(batch.column("part").to_pylist(), batch.column("places"), batch.column("counts"), strict=True):
+            if part != now:
+                if now is not None:
+                    yield done(now, total)
+                now, total = part, np.zeros(1 << RANGE_BITS, np.uint8)
+            own = np.frombuffer(places.as_buffer(), np.uint32)
+            total[own] = np.minimum(total[own].astype(np.uint16) + np.frombuffer(counts.as_buffer(), np.uint8), MOST)
+    if now is not None:
+        yield done(now, total)
+
+
+def folder(levels: tuple[int, ...], bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The bits of each range of a sketch of 2**bits cells."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 1 << (bits - CELL_BITS + RANGE_BITS)
         for batch in batches:
             for part, places, counts in zip(batch.column("part").to_pylist(), batch.column("places"), batch.column("counts"), strict=True):
-                if part != now:
-                    if now is not None:
-                        yield done(now, total)
-                    now, total = part, np.zeros(1 << RANGE_BITS, np.int32)
-                own = np.frombuffer(places.as_buffer(), np.uint16)
-                total[own] = np.minimum(total[own] + np.frombuffer(counts.as_buffer(), np.uint8), MOST)
-        if now is not None:
-            yield done(now, total)
+                own = np.frombuffer(places.as_buffer(), np.uint32) >> np.uint32(CELL_BITS - bits)
+                total = np.bincount(own, np.frombuffer(counts.as_buffer(), np.uint8), size)
+                found = b"".join(np.packbits(total >= x, bitorder="little").tobytes() for x in levels)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(found, 1)], pa.binary())], ["part", "bits"])
+
+    return fold
+
 
-    return merge
+def bits_for(n: int) -> int:
+    """Bits of a cell's number for n different hashes."""
+    return min(MOST_BITS, max(LEAST_BITS, (CELLS_PER_HASH * n - 1).bit_length()))
 
 
 class Sketch:
-    def __init__(self, levels: tuple[int, ...]):
-        self.levels = levels
-        self.bits = np.zeros((len(levels), DEPTH, 1 << (CELL_BITS - 3)), np.uint8)
+    def __init__(self, levels: tuple[int, ...], cell_bits: int):
+        self.levels, self.cell_bits = levels, cell_bits
+        self.bits = np.zeros((len(levels), DEPTH, 1 << (cell_bits - 3)), np.uint8)
 
     def reaches(self, hashes: np.ndarray, level: int = 0) -> np.ndarray:
         """Whether the estimated count of each hash is at least levels[level]."""
         out = np.ones(len(hashes), bool)
         for row in range(DEPTH):
-            at = cells(hashes, row)
+            at = cells(hashes, row) >> np.uint32(CELL_BITS - self.cell_bits)
             out &= (self.bits[level, row, at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
         return out
 
@@ -92,10 +115,13 @@ class Sketch:
 def sketch(rows: DataFrame, hashes_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], levels: tuple[int, ...] = (2,)) -> Sketch:
     """Counts all hashes that hashes_of takes from rows."""
     parts = arrow_map(rows, partial(hashes_of), "part int, places binary, counts binary").repartition("part").sortWithinPartitions("part")
-    out, size = Sketch(levels), 1 << (RANGE_BITS - 3)
-    for part, bits in arrow_map(parts, merger(levels), "part int, bits binary").toLocalIterator():
-        own = np.frombuffer(zlib.decompress(bits), np.uint8)
+    merged = materialize(arrow_map(parts, merge, "part int, n long, places binary, counts binary"), "sketch")
+    bits = bits_for((merged.agg(F.sum("n")).first()[0] or 0) // DEPTH)
+    out, size = Sketch(levels, bits), 1 << (bits - CELL_BITS + RANGE_BITS - 3)
+    for part, found in arrow_map(merged.select("part", "places", "counts"), folder(levels, bits), "part int, bits binary").toLocalIterator():
+        own = np.frombuffer(zlib.decompress(found), np.uint8)
         at = (part & 0xFFFF) * size
         for k in range(len(levels)):
             out.bits[k, part >> 16, at : at + size] = own[k * size : (k + 1) * size]
+    discard(merged)
     return out
