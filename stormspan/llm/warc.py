@@ -10,7 +10,7 @@ end that the writer adds is the end that a record needs. A file holds at most `r
 Reading parses each file as a stream. Whole records are decoded where they are read. Segments are grouped by origin,
 ordered by number, checked for gaps and against the total length, joined, and their chunked framing decoded. Revisits
 get their payload's length from the response that they refer to; that join deals by record id, and adaptive execution
-splits a response with very many revisits.
+may split a response with very many revisits.
 
 Defined cases: null payloads are empty; rows with equal id and payload are, with `every_row`, numbered and records each for
 itself, otherwise equal records that are read back as one; rows with equal id and other payloads are records each for
@@ -123,7 +123,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     """Writes the archives below path; with every_row each row has a record id of its own."""
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     light = pages.select(F.col(id_col).cast("long").alias("page_id"), F.unhex(F.sha2(payload, 256)).alias("sha"), F.octet_length(payload).alias("n")).where(F.col("n") >= min_revisit)
-    repeats = light.groupBy("sha").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("sha", "first")
+    # Written first: joined with its own aggregation, a payload of very many rows couldn't be split by adaptive execution.
+    repeats = materialize(light.groupBy("sha").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("sha", "first"), "repeats")
     again = light.select("page_id", "sha").distinct().join(repeats, "sha").where("page_id > first")
     full = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("sha", F.unhex(F.sha2("payload", 256)))
     copy = F.row_number().over(Window.partitionBy("page_id", "sha").orderBy(F.lit(0))) - 1 if every_row else F.lit(0)
@@ -234,7 +235,9 @@ def read(spark: SparkSession, path: str, every_row: bool = False) -> DataFrame:
     long_ones = arrow_map(parts, reassembler, "page_id long, record_id string, digest string, payload_bytes long")
     responses = parsed.where("kind = 'response' AND segment IS NULL").select("page_id", "record_id", "digest", "payload_bytes").unionByName(long_ones)
     revisits = parsed.where("kind = 'revisit'").select("page_id", "record_id", "digest", F.col("refers_to").alias("_to"))
-    known = responses.select(F.col("record_id").alias("_to"), F.col("page_id").alias("refers_to"), "payload_bytes").dropDuplicates(["_to"])
+    # The responses that revisits refer to, each once, are written first, so a response of very many revisits can be split.
+    known = responses.select(F.col("record_id").alias("_to"), F.col("page_id").alias("refers_to"), "payload_bytes").join(revisits.select("_to").distinct(), "_to", "left_semi")
+    known = materialize(known.dropDuplicates(["_to"]), "known")
     resolved = revisits.join(known, "_to", "left").withColumn("payload_bytes", F.when(F.col("payload_bytes").isNull(), F.raise_error(F.concat(F.lit("no response for "), "_to")).cast("long")).otherwise(F.col("payload_bytes")))
     both = responses.select("page_id", "record_id", F.lit("response").alias("record_type"), "payload_bytes", F.col("digest").alias("payload_digest"), F.lit(None).cast("long").alias("refers_to")).unionByName(
         resolved.select("page_id", "record_id", F.lit("revisit").alias("record_type"), "payload_bytes", F.col("digest").alias("payload_digest"), "refers_to")
