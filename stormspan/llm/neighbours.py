@@ -34,6 +34,10 @@ SURE = 0.95
 BLOCK = 8192
 LEAF = 64
 SAMPLE = 20_000
+#: Points of the sample for each cell of the top at least; beyond that cells are split by a hash.
+POINTS = 8
+#: Relative error of an inner product of some thousand components in double precision, with room to spare.
+SLACK = 1e-11
 FOUND = "query_id long, vec_id long, score double"
 FOUND_NAMES = ["query_id", "vec_id", "score"]
 
@@ -118,6 +122,7 @@ class Tree:
             half = np.argpartition(p[:, axis], len(own) // 2)
             stack += [own[half[len(own) // 2 :]], own[half[: len(own) // 2]]]
         at = np.concatenate(order)
+        self.norm = math.sqrt(float((x * x).sum(axis=1).max())) if len(x) else 0.0
         self.ids, self.x, self.cuts = ids[at], np.ascontiguousarray(x[at]), np.array(cuts)
         p = projected[at]
         self.low, self.high = np.minimum.reduceat(p, self.cuts[:-1]), np.maximum.reduceat(p, self.cuts[:-1])
@@ -134,7 +139,9 @@ class Tree:
                 break
             rows = np.concatenate([np.arange(self.cuts[j], self.cuts[j + 1]) for j in walk[at : at + step]])
             rough = self.x[rows] @ q
-            rows = rows[(rough >= kth - 1e-9) & (self.ids[rows] != query_id)]
+            # Both sums may be off by a share of their terms' sizes; what could tie is computed again, exactly as it is returned.
+            off = SLACK * math.sqrt(base)
+            rows = rows[(rough >= kth - off * self.norm) & (self.ids[rows] != query_id)]
             ids = np.concatenate((ids, self.ids[rows]))
             scores = np.concatenate((scores, (self.x[rows] * q).sum(axis=1)))
             if len(scores) > 4 * k:
@@ -235,9 +242,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sure: float = SU
     indexed = known.withColumn("_r", F.dense_rank().over(copies)).where(F.col("_r") <= k + 1).select("vec_id", "vec").dropDuplicates(["vec", "vec_id"])
     projection = Projection(dim, norm)
     draw = F.pmod(F.xxhash64("vec_id", F.lit(19)), F.lit(1_000_000)) < int(min(1.0, SAMPLE / total) * 1_000_000)
-    sample = known.where(draw).select("vec").limit(2 * SAMPLE).toPandas()["vec"]
+    sample = known.where(draw).orderBy(F.xxhash64("vec_id", F.lit(19)), "vec_id", F.xxhash64("vec")).select("vec").limit(2 * SAMPLE).toPandas()["vec"]
     points = projection.candidates(np.stack([np.asarray(v, float) for v in sample])) if len(sample) else np.zeros((0, M))
-    model = Carried(spark, projection), Carried(spark, Top(points, -(-total // block)))
+    model = Carried(spark, projection), Carried(spark, Top(points, min(-(-total // block), max(1, len(points) // POINTS))))
     both = indexed.withColumn("query", F.lit(False)).unionByName(asked.withColumn("query", F.lit(True)))
     placed = materialize(arrow_map(both, placer(model, dim), f"vec_id long, vec {vectors.schema[vector_col].dataType.simpleString()}, query boolean, cell long"), "placed")
     counts = placed.where("NOT query").groupBy("cell").agg(F.count("*").alias("n")).withColumn("subs", F.ceil(F.col("n") / (1.5 * block)).cast("long")).select("cell", "subs")
