@@ -297,6 +297,28 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_every_language_is_learned(spark):
+    """More languages than any list of the most frequent would hold, each with a few documents."""
+    rng, rows = random.Random(6), []
+    for k in range(230):
+        own = [chr(0x4E00 + 20 * k + j) for j in range(20)]
+        rows += [(1000 * k + i, "".join(rng.choices(own, k=60)), f"l{k}") for i in range(8)]
+    got = langid.identify(docs_frame(spark, rows), queries.fold(5) != 0).collect()
+    right = {d: k for d, _, k in rows}
+    assert sum(r.lang_pred == right[r.doc_id] for r in got) / len(got) > 0.97
+
+
+def test_long_text_and_bounded_lookups(spark, monkeypatch):
+    """A text of some megabytes is scored by parts with the score that it has as a whole."""
+    rows = [r for r in lang_rows() if r[0] is not None and r[0] < 900] + [(950, "the of and " * 100_000, None)]
+    docs = docs_frame(spark, rows)
+    whole = {r.doc_id: r for r in langid.identify(docs, queries.fold(5) != 0, max_train=100).collect()}
+    monkeypatch.setattr(langid, "HELD", 1000)
+    parts = {r.doc_id: r for r in langid.identify(docs, queries.fold(5) != 0, max_train=100).collect()}
+    assert len(rows[-1][1]) > 1_000_000 and whole[950].lang_pred == "aa" == parts[950].lang_pred
+    assert all(whole[d].lang_pred == parts[d].lang_pred and whole[d].score == pytest.approx(parts[d].score, abs=1e-6) for d in whole)
+
+
 def test_language_without_labels(spark):
     docs = docs_frame(spark, [(1, "the", None), (2, None, None)])
     assert {(r.lang_pred, r.score) for r in langid.identify(docs, queries.fold(5) != 0).collect()} == {("und", 0.0)}
