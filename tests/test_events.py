@@ -3,11 +3,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stormspan.functions import calendar as cal
 from stormspan.operators import coincidence, events, flagging, stats
+from stormspan.plans import sweep
 from stormspan.sources import io
 
 EXAMPLE = [0, 1, 0, 0, 1, 1, 0, 1, 0, 0, 0, 0, 0, 1]
@@ -170,3 +172,45 @@ def test_sources(spark, tmp_path):
     read = io.read_series(spark, str(tmp_path / "s"), season=(6, 4))
     assert [(r.ensemble, r.month) for r in read.collect()] == [("0001", 7)]
     assert [r.ensemble for r in io.missing_members(read, ["0000", "0001"]).collect()] == ["0000"]
+
+
+def test_batch_from_the_command_line(spark, tmp_path):
+    """Members by prefix, a season of two months, surrogates with a seed; four outputs."""
+    rng = np.random.default_rng(3)
+    rows = [(f"p{e}", r, "rain", i, f"{2000 + i // 360}{i % 360 // 30 + 1:02d}{i % 30 + 1:02d}", 2000 + i // 360, i % 360 // 30 + 1, float(rng.gamma(2, 6))) for e in ("01", "02", "03") for r in ("north", "south") for i in range(1080)]
+    io.write_series(spark.createDataFrame(rows, io.SERIES), str(tmp_path / "in"))
+    arguments = ["--series", str(tmp_path / "in"), "--out", str(tmp_path / "out"), "--ensembles", "01", "02", "--ensemble-prefix", "p", "--thresholds", "20", "25", "--delT", "1", "2", "--season", "7", "8", "--sigtest", "shuffle.surrogate", "--shuffle-reps", "20", "--seed", "5"]
+    sweep.main(arguments)
+    out = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "out" / "summary")).collect()
+    assert len(out) == 2 * 2 * 2 * 2 and {r.sigtest for r in out} == {"shuffle.surrogate"} and {r.n_jjas_days for r in out} == {180}
+    again = sweep.run(spark.createDataFrame([(r[0][1:], *r[1:]) for r in rows if r[0] != "p03"], io.SERIES), sweep.configured(sweep.arguments().parse_args(arguments)))
+    want = {(r.ensemble, r.region, r.wet_threshold, r.delT): (r.n_events, r.pvalue_precursor) for r in again["summary"].collect()}
+    assert {(f"{int(r.ensemble):02d}", r.region, float(r.wet_threshold), r.delT): (r.n_events, r.pvalue_precursor) for r in out} == want
+    for name, columns in (("regional_episodes", {"ensemble", "region", "event_type"}), ("national_episodes", {"regions", "rain_days"}), ("events_by_day", {"day_class", "yyyymmdd", "ensemble", "delT"})):
+        table = spark.read.option("header", True).csv(str(tmp_path / "out" / name))
+        assert columns <= set(table.columns) and table.count() == again[name].count() > 0
+
+
+def test_compound_days_and_episodes_from_one_pass(spark):
+    """The batch summary's counts are those of the operators that find members and events, for tau of one and beyond."""
+    rng = np.random.default_rng(4)
+    rows = [("a", r, "rain", i, f"{2000 + i // 360}{i % 360 // 30 + 1:02d}{i % 30 + 1:02d}", 2000 + i // 360, i % 360 // 30 + 1, float(rng.random())) for r in ("n", "s") for i in range(720)]
+    series = spark.createDataFrame(rows, io.SERIES)
+    for tau in (1, 2):
+        config = sweep.SweepConfig(thresholds=(0.8,), deltas=(0, 3), tau=tau)
+        marked = sweep.flagged(series, config)
+        got = {(r.region, r.delT): (r.n_compound_days, r.n_compound_episodes, r.k_precursor, r.k_trigger) for r in sweep.summary(marked, config).collect()}
+        for delta in config.deltas:
+            days = {r.region: r["count"] for r in events.membership(marked, sweep.KEYS, delta, tau).groupBy("region").count().collect()}
+            found = {r.region: r["count"] for r in events.compound_events(marked, sweep.KEYS, delta, tau).groupBy("region").count().collect()}
+            both = {r.region: r for r in coincidence.analyse(marked.withColumns({"a": marked.event, "b": marked.event}), sweep.KEYS, delta, tau).collect()}
+            for region in ("n", "s"):
+                assert got[region, delta] == (days.get(region, 0), found.get(region, 0), both[region].k_prec, both[region].k_trigg)
+
+
+def test_several_variables_must_be_named(spark, tmp_path):
+    fields = spark.createDataFrame([("m", "20000101", 0.0, 0.0, 1.0, "t"), ("m", "20000101", 0.0, 0.0, 2.0, "u")], "member string, yyyymmdd string, lat double, lon double, value double, variable string")
+    io.write_fields(fields, str(tmp_path / "f"))
+    with pytest.raises(ValueError, match="several variables"):
+        io.read_fields(spark, [str(tmp_path / "f")])
+    assert [r.value for r in io.read_fields(spark, [str(tmp_path / "f")], variable="u").collect()] == [2.0]
