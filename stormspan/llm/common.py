@@ -205,17 +205,18 @@ def lower_table() -> np.ndarray:
     return table
 
 
-def words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool = False, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words between ASCII white space: 64-bit hash, start, end, and for each document the index of its first word (one more at the end).
 
-    Long runs are taken block by block between white space, so only the words' own numbers grow with a text.
+    Long runs are taken block by block between white space, so only the words' own numbers grow with a text. Hashes of
+    different seeds are independent.
     """
     if len(raw) <= 2 * SLICE_BYTES:
-        return _words(raw, offsets, lower)
+        return _words(raw, offsets, lower, seed)
     parts, at = [], 0
     for part in blocks(raw, SLICE_BYTES):
         inner = offsets[(offsets > at) & (offsets < at + len(part))] - at
-        h, starts, ends, _ = _words(part, np.concatenate(([0], inner, [len(part)])), lower)
+        h, starts, ends, _ = _words(part, np.concatenate(([0], inner, [len(part)])), lower, seed)
         parts.append((h, starts + at, ends + at))
         at += len(part)
     h, starts, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -237,7 +238,7 @@ def blocks(raw: np.ndarray, most: int) -> Iterator[np.ndarray]:
         at = to
 
 
-def _words(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _words(raw: np.ndarray, offsets: np.ndarray, lower: bool, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     if not len(raw):
         none = np.zeros(0, np.int64)
         return np.zeros(0, U64), none, none, np.zeros(len(offsets), np.int64)
@@ -250,7 +251,7 @@ def _words(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarra
     ends = np.flatnonzero(inside & (~after | first[1:])) + 1
     data = lower_table()[raw] if lower else raw
     summed = np.zeros(len(raw) + 1, dtype=U64)
-    np.cumsum(seeded(256, 7)[data] * powers(len(raw)), out=summed[1:])
+    np.cumsum(seeded(256, seed)[data] * powers(len(raw)), out=summed[1:])
     h = mix((summed[ends] - summed[starts]) * powers(len(raw), True)[starts])
     return h, starts, ends, np.searchsorted(starts, offsets)
 

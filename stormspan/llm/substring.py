@@ -5,7 +5,8 @@ smaller id. Windows are judged on the input.
 
 First pass: each window selects the smallest of its `gram`-word hashes; equal windows select equal ones, so a count-min
 sketch of selected hashes overestimates every window's count, with an entry for about every 13th word only. Second pass:
-windows whose estimate reaches 2 are hashed to 128 bits and grouped exactly. A task first decides among its own windows
+windows whose estimate reaches 2 are hashed to 128 bits, 64 each from two independent hashes of their words, and grouped;
+two different ones of n meet in all 128 with a chance of about n * n / 2**129. A task first decides among its own windows
 and passes on those of its smallest document for each window, so a window in a third of all documents gives a row for
 each task. Grouped rows are streamed in sorted order and never held together. Removed windows return to their document
 as runs.
@@ -99,7 +100,8 @@ def emitter(model, window: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]
             at = at[model.value.reaches(least[new])[np.cumsum(new) - 1]] if len(at) else at
             if len(at):
                 doc = np.searchsorted(first, at, side="right") - 1
-                held.append((window_hashes(h, window, 11)[at], window_hashes(h, window, 12)[at], keys[doc], tids[doc], at - first[doc]))
+                other = words_of(raw, offsets, seed=8)[0]
+                held.append((window_hashes(h, window, 11)[at], window_hashes(other, window, 12)[at], keys[doc], tids[doc], at - first[doc]))
                 count += len(at)
             if count >= FLUSH:
                 yield from decide(held)
