@@ -11,7 +11,12 @@
    sets, the likeliest first; pairs that are connected already need no check. Confirmed links give components.
 4. Of a component of several blocks, classes outside its largest part are compared with all the component's classes in
    a grid of blocks. So each pair of the component that isn't connected has been checked, while a dense group, however
-   large, is compared with one block only. No list of pairs is ever made.
+   large, is compared with one block only. A component of more than `wide` blocks (which chains of weakly alike classes
+   make) isn't compared as a whole but bucket by bucket: in each bucket the classes outside the largest part with all of
+   the bucket, in a grid of blocks again, since pairs that meet in no bucket are no candidates. No list of pairs is ever made.
+
+Minima and counts of groups are written before they are joined with the groups' rows: adaptive execution can split a hot
+group only if neither side of a join is an aggregation of the same dealing.
 
 Defined cases: without a word the set is empty and linked with nothing; with fewer words than a shingle the whole
 sequence is the one shingle; the graph's nodes are rows, numbered in a written copy, so rows of equal or null id are told
@@ -36,6 +41,7 @@ ROWS = 5
 MISS = 1e-6
 MARGIN = 5.0
 BLOCK = 512
+WIDE = 16
 
 
 def n_bands(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -172,21 +178,22 @@ def _links(blocks: DataFrame, threshold: float, margin: float) -> DataFrame:
     return arrow_map(dealt, confirmer(threshold, margin), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, rows: int = ROWS, miss: float = MISS, margin: float = MARGIN, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, rows: int = ROWS, miss: float = MISS, margin: float = MARGIN, block: int = BLOCK, wide: int = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: doc_id, n_shingles, component_id (smallest id of what it is linked with, itself included), kept (true for one row of each component)."""
     numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row"), id_in(F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text")), "numbered")
-    return _judged(numbered, threshold, words, rows, miss, margin, block).select("doc_id", "n_shingles", "component_id", "kept")
+    return _judged(numbered, threshold, words, rows, miss, margin, block, wide).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def _judged(rows_in: DataFrame, threshold: float = 0.8, words: int = 5, rows: int = ROWS, miss: float = MISS, margin: float = MARGIN, block: int = BLOCK) -> DataFrame:
+def _judged(rows_in: DataFrame, threshold: float = 0.8, words: int = 5, rows: int = ROWS, miss: float = MISS, margin: float = MARGIN, block: int = BLOCK, wide: int = WIDE) -> DataFrame:
     """near_duplicates with the column row, over written rows (row, doc_id, text)."""
     light = materialize(arrow_map(rows_in, sketcher(words, n_bands(threshold, rows, miss), rows), "row long, doc_id long, n long, s1 long, s2 long, bands array<long>"), "sketches")
     classes = light.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.first("bands").alias("bands")).withColumn("rep", F.col("least.row"))
     classes = materialize(classes, "classes")
     banded = classes.select("rep", F.explode("bands").alias("band"))
-    centres = banded.groupBy("band").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").select("band", "centre")
+    centres = materialize(banded.groupBy("band").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").select("band", "centre"), "centres")
     candidates = components(banded.join(centres, "band").where("rep > centre").select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct())
-    sized = materialize(candidates.join(candidates.groupBy("component").agg(F.count("*").alias("members")), "component").select(F.col("node").alias("_rep"), F.col("component").alias("grp"), "members"), "candidates")
+    counts = materialize(candidates.groupBy("component").agg(F.count("*").alias("members")), "counts")
+    sized = materialize(candidates.join(counts, "component").select(F.col("node").alias("_rep"), F.col("component").alias("grp"), "members"), "candidates")
     found = rows_in.join(sized, F.col("row") == F.col("_rep")).select("row", "text", "grp", "members")
     sets = materialize(arrow_map(found, setter(words), "row long, grp long, members long, own binary").where("length(own) > 0"), "sets")
 
@@ -197,22 +204,26 @@ def _judged(rows_in: DataFrame, threshold: float = 0.8, words: int = 5, rows: in
     first = sets.select("row", "own", F.lit(2).alias("part"), "grp", F.explode(every).alias("_b")).select("row", "own", "part", F.xxhash64("grp", "_b").alias("blk"))
     links = materialize(_links(first, threshold, margin), "links")
 
-    # Classes outside the largest part of a component of several blocks against all of it.
-    large = sets.where(blocks > 1).select("row", "grp")
+    # Classes outside the largest part of a component of several blocks, or of its buckets, against all of it.
+    large = sets.where(blocks > 1).select("row", "grp", "members")
     if large.limit(1).count():
         parts = components(links.join(large.select(F.col("row").alias("u")), "u", "left_semi"))
-        placed = materialize(large.join(parts, F.col("row") == F.col("node"), "left").select("row", "grp", F.coalesce("component", "row").alias("cc")), "placed")
-        main = placed.groupBy("grp", "cc").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("cc", F.struct("n", "cc")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"))
-        flags = placed.join(main, "grp").select(F.col("row").alias("_d"), (F.col("cc") != F.col("main")).alias("out"), "outside").where("outside > 0")
-        grid = sets.join(flags, F.col("row") == F.col("_d"))
-        strips = F.ceil(F.col("outside") / block).cast("long")
+        placed = materialize(large.join(parts, F.col("row") == F.col("node"), "left").select("row", "grp", "members", F.coalesce("component", "row").alias("cc")), "placed")
+        chained = F.col("members") > wide * block
+        in_buckets = placed.where(chained).join(banded.join(centres.select("band"), "band", "left_semi"), F.col("row") == F.col("rep")).select("row", F.xxhash64("band", F.lit("bucket")).alias("grp"), "cc")
+        cells = materialize(placed.where(~chained).select("row", "grp", "cc").unionByName(in_buckets), "cells")
+        shares = cells.groupBy("grp", "cc").agg(F.count("*").alias("n"))
+        main = materialize(shares.groupBy("grp").agg(F.max_by("cc", F.struct("n", "cc")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0"), "main")
+        flags = cells.join(main, "grp").select(F.col("row").alias("_d"), "grp", (F.col("cc") != F.col("main")).alias("out"), "all", "outside")
+        grid = sets.select("row", "own").join(flags, F.col("row") == F.col("_d"))
+        strips, blocks = (F.ceil(F.col(c) / block).cast("long") for c in ("outside", "all"))
         strip, col = F.pmod(F.xxhash64("row", F.lit(1)), strips), F.pmod(F.xxhash64("row", F.lit(2)), blocks)
         outs = grid.where("out").select("row", "own", F.lit(1).alias("part"), "grp", strip.alias("_r"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("_c"))
         alls = grid.select("row", "own", F.lit(0).alias("part"), "grp", F.explode(F.sequence(F.lit(0).cast("long"), strips - 1)).alias("_r"), col.alias("_c"))
         second = outs.unionByName(alls).select("row", "own", "part", F.xxhash64("grp", "_r", "_c").alias("blk"))
         links = links.unionByName(materialize(_links(second, threshold, margin), "links2"))
     final = materialize(components(links).join(classes.select("rep", "least"), F.col("node") == F.col("rep")).select("node", "component", "least"), "final")
-    label = final.groupBy("component").agg(F.min("least").alias("first"))
+    label = materialize(final.groupBy("component").agg(F.min("least").alias("first")), "label")
     placed_reps = final.select("node", "component").join(label, "component").select("node", "first")
 
     named = classes.join(placed_reps, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("first", "least").alias("first"))

@@ -186,12 +186,12 @@ def near_corpus(seed):
     return [*rows, (200, rows[1][1].lower()), (201, rows[1][1]), (202, None), (203, ""), (204, "a"), (205, "A"), (206, "a b"), (207, "a c"), (None, rows[5][1]), (1, rows[1][1])]
 
 
-@pytest.mark.parametrize("block", [512, 7])
-def test_near_duplicates(spark, block):
-    """With small blocks the grid of outsiders gives the same components."""
+@pytest.mark.parametrize(("block", "wide"), [(512, 16), (7, 16), (7, 0)])
+def test_near_duplicates(spark, block, wide):
+    """With small blocks the grid of outsiders gives the same components, over whole components and over buckets."""
     rows = near_corpus(6)
     want, sets = jaccard_components(rows, 3, 85)
-    got = neardup.near_duplicates(frame(spark, rows), 0.85, 3, block=block).collect()
+    got = neardup.near_duplicates(frame(spark, rows), 0.85, 3, block=block, wide=wide).collect()
     assert len(got) == len(rows)
     for r in got:
         d = MAX if r.doc_id is None else r.doc_id
