@@ -25,7 +25,6 @@ from stormspan.plans.queries import (
     ER,
     FIELD,
     FOUND,
-    HIGH,
     MEMBERS,
     ORDERS,
     PAIR_AB,
