@@ -16,9 +16,8 @@ gather in one task.
 The models read the whole URL, with scheme, query and fragment; rules and output columns host and path only.
 
 Defined cases: a null URL or one without `://` has an empty host and path and is judged by the method (a null one as an
-empty string); repeated rows are
-judged each for itself; without decided URLs of either verdict everything undecided is allowed; other columns are not
-read. Ties at the threshold are allowed.
+empty string); repeated rows are judged each for itself; without decided URLs of either verdict everything undecided is
+allowed; other columns are not read. Ties at the threshold are allowed.
 """
 
 from __future__ import annotations
