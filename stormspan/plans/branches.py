@@ -58,7 +58,7 @@ from stormspan.plans.queries import (
     wet,
     wet_region,
 )
-from stormspan.sources import io
+from stormspan.sources import io, netcdf
 
 # --- surrogates and other branches of coincidence -----------------------------------------------------------------------
 
@@ -176,6 +176,16 @@ def series_source(spark, d):
     return rounded(out.where("value IS NOT NULL").select(*ER, "idx", "yyyymmdd", "value"), value=6)
 
 
+@query(_sql(ORDERS, AXIS, MEMBERS, "SELECT ensemble, region, idx, yyyymmdd, year, month, round(value, 6) AS value FROM members WHERE ensemble IN ('1-URGENT', '4-NOT SPECIFIED') AND region IN ('ASIA', 'MIDDLE EAST')"))
+def netcdf_source(spark, d):
+    """A classic NetCDF file for each member and region, written and read again."""
+    path = io.scratch(spark, "netcdf")
+    own = members(spark, d).where(F.col("ensemble").isin("1-URGENT", "4-NOT SPECIFIED") & F.col("region").isin("ASIA", "MIDDLE EAST"))
+    netcdf.write_series(own.withColumn("variable", F.lit("price")), path)
+    out = netcdf.read_series(spark, [path], r"ensemble=([^/]+)/region=([^/]+)/")
+    return rounded(out.select(*ER, "idx", "yyyymmdd", "year", "month", F.when(~F.isnan("value"), F.col("value")).alias("value")), value=6)
+
+
 @query("SELECT 'no member' AS ensemble, r_name AS region FROM region UNION ALL SELECT DISTINCT o_orderpriority, 'NOWHERE' FROM orders UNION ALL SELECT 'no member', 'NOWHERE'")
 def missing_members(spark, d):
     names = sorted(r[0] for r in spark.read.parquet(f"{d}/orders.parquet").select("o_orderpriority").distinct().collect())
