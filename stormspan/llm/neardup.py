@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from stormspan.llm.common import U64, arrow_map, forget, id_in, id_out, longs, materialize, mix, plain_names, seeded, text_slices, window_hashes, words_of
 from stormspan.llm.components import components
+from stormspan.llm.sketch import Among
 
 ROWS = 5
 MISS = 1e-6
@@ -95,17 +96,13 @@ def sketcher(words: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordB
     return sketch
 
 
-def setter(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The shingle set of each document as bytes."""
+def setter(words: int, among: Among) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The shingle set, as bytes, of each document that may be among the wanted ones."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            groups, at = batch.column("grp").to_numpy(zero_copy_only=False), 0
-            counts = batch.column("members").to_numpy(zero_copy_only=False)
-            for keys, raw, offsets in text_slices(iter([batch]), "row", "text", 1 << 19):
-                own = [x.tobytes() for _, x in shingle_sets(keys, raw, offsets, words)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(groups[at : at + len(keys)], pa.int64()), pa.array(counts[at : at + len(keys)], pa.int64()), pa.array(own, pa.binary())], ["row", "grp", "members", "own"])
-                at += len(keys)
+        for keys, raw, offsets in text_slices(among.chosen(batches), "row", "text"):
+            own = [x.tobytes() for _, x in shingle_sets(keys, raw, offsets, words)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(own, pa.binary())], ["row", "own"])
 
     return make
 
@@ -194,8 +191,9 @@ def _judged(rows_in: DataFrame, threshold: float = 0.8, words: int = 5, rows: in
     candidates = components(banded.join(centres, "band").where("rep > centre").select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct())
     counts = materialize(candidates.groupBy("component").agg(F.count("*").alias("members")), "counts")
     sized = materialize(candidates.join(counts, "component").select(F.col("node").alias("_rep"), F.col("component").alias("grp"), "members"), "candidates")
-    found = rows_in.join(sized, F.col("row") == F.col("_rep")).select("row", "text", "grp", "members")
-    sets = materialize(arrow_map(found, setter(words), "row long, grp long, members long, own binary").where("length(own) > 0"), "sets")
+    # Sets of candidates are made where texts are read; only they are shuffled.
+    made = arrow_map(rows_in.select("row", "text"), setter(words, Among(sized.select(F.col("_rep").alias("row")), "row")), "row long, own binary").where("length(own) > 0")
+    sets = materialize(made.join(sized.hint("merge"), F.col("row") == F.col("_rep")).select("row", "grp", "members", "own"), "sets")
 
     # Blocks of a component: by hash, the first also with every other.
     blocks = F.ceil(F.col("members") / block).cast("long")
