@@ -147,5 +147,5 @@ def shuffle_test(series: DataFrame, keys: Sequence[str], delta: int = 4, tau: in
 
     surrogates = blocks.select(*keys, F.inline(F.transform(F.sequence(F.lit(1), F.lit(reps)), counted))).groupBy(*keys, "rep").agg(F.sum("k_prec").alias("k_prec"), F.sum("k_trigg").alias("k_trigg"))
     both = surrogates.join(observed, keys)
-    share = {c: F.when(F.min(F.least("n_a", "n_b")) > 0, F.avg((F.col(f"k_{c}") / F.col(n) > F.col(f"_o{c[0]}")).cast("double"))) for c, n in (("prec", "n_a"), ("trigg", "n_b"))}
+    share = {c: F.when(F.min(F.least("n_a", "n_b")) > 0, F.avg((F.try_divide(f"k_{c}", n) > F.col(f"_o{c[0]}")).cast("double"))) for c, n in (("prec", "n_a"), ("trigg", "n_b"))}
     return both.groupBy(*keys).agg(*(v.alias(f"pvalue_{c}") for c, v in share.items()))
