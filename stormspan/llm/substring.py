@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stormspan.llm.common import U64, Carried, arrow_map, id_in, id_out, longs, mix, sliding_min, text_slices, window_hashes, words_of
-from stormspan.llm.sketch import sketch
+from stormspan.llm.sketch import MOST_BITS, finished, sketch
 
 WINDOW = 50
 GRAM = 25
@@ -163,11 +163,10 @@ def finisher(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return finish
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: doc_id, n_words, n_removed and text, the kept words joined by a space."""
+def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = MOST_BITS) -> DataFrame:
+    """For each row: doc_id, n_words, n_removed and text, the kept words joined by a space. sketch_bits bounds the sketch: more cells let fewer single windows of a large corpus through."""
     rows = docs.select(id_in(F.col(id_col)).alias("doc_id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text"))
-    model = Carried(docs.sparkSession, sketch(rows.select("doc_id", "text"), hasher(window, gram)))
+    model = Carried(docs.sparkSession, sketch(rows.select("doc_id", "text"), hasher(window, gram), most_bits=sketch_bits))
     windows = arrow_map(rows, emitter(model, window, gram), ROW).repartition("w1").sortWithinPartitions("w1", "w2", "doc_id")
     marks = arrow_map(windows, grouper, "doc_id long, tid long, pos int, n int").groupBy("doc_id", "tid").agg(F.collect_list(F.struct("pos", "n")).alias("marks"))
-    both = rows.join(marks, ["doc_id", "tid"], "left").select("doc_id", "text", "marks")
-    return arrow_map(both, finisher(window), "doc_id long, n_words long, n_removed long, text string").withColumn("doc_id", id_out(F.col("doc_id")))
+    return finished(rows, marks, finisher(window), "doc_id long, n_words long, n_removed long, text string", "tid").withColumn("doc_id", id_out(F.col("doc_id")))
