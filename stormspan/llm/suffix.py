@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stormspan.llm.common import SLICE_BYTES, U64, Carried, arrow_map, forget, id_in, id_out, longs, mix, powers, seeded, sliding_min, text_slices
-from stormspan.llm.sketch import sketch
+from stormspan.llm.sketch import MOST_BITS, finished, sketch
 from stormspan.llm.substring import changes, marked, runs
 
 LENGTH = 200
@@ -310,23 +310,23 @@ def finisher(length: int, whole_characters: bool) -> Callable[[Iterator[pa.Recor
     return finish
 
 
-def _marks(rows: DataFrame, length: int, gram: int, mode: str) -> DataFrame:
+def _marks(rows: DataFrame, length: int, gram: int, mode: str, sketch_bits: int) -> DataFrame:
     if mode not in ("first", "all"):
         raise ValueError(f"mode is {mode!r}; it can be first or all")
     keep_first = mode == "first"
-    model = Carried(rows.sparkSession, sketch(rows.select("doc_id", "text"), hasher(length, gram), (2, HOT)))
+    model = Carried(rows.sparkSession, sketch(rows.select("doc_id", "text"), hasher(length, gram), (2, HOT), sketch_bits))
     blocks = arrow_map(rows.select("doc_id", "tid", "text"), emitter(model, length, gram, keep_first), ROW).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "tid", "pos")
     return arrow_map(blocks, grouper(length, keep_first), "doc_id long, tid long, pos int, n int").groupBy("doc_id", "tid").agg(F.collect_list(F.struct("pos", "n")).alias("marks"))
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mode: str = "first", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: doc_id, n_bytes, n_removed, n_spans and kept, the remaining bytes."""
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mode: str = "first", id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = MOST_BITS) -> DataFrame:
+    """For each row: doc_id, n_bytes, n_removed, n_spans and kept, the remaining bytes. sketch_bits bounds the sketch of anchors."""
     rows = docs.select(id_in(F.col(id_col)).alias("doc_id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text"))
-    both = rows.join(_marks(rows, length, gram, mode), ["doc_id", "tid"], "left").select("doc_id", "text", "marks")
-    return arrow_map(both, finisher(length, False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumn("doc_id", id_out(F.col("doc_id")))
+    marks = _marks(rows, length, gram, mode, sketch_bits)
+    return finished(rows, marks, finisher(length, False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", "tid").withColumn("doc_id", id_out(F.col("doc_id")))
 
 
-def remove_copies(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+def remove_copies(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, sketch_bits: int = MOST_BITS) -> DataFrame:
     """docs with later copies cut out of their texts (whole characters only); all columns and rows stay.
 
     length_col: a column with the number of characters, which is set anew for texts that were cut.
@@ -335,11 +335,10 @@ def remove_copies(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_co
     own = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text = f"c{names.index(text_col)}"
     rows = own.select("*", id_in(F.col(f"c{names.index(id_col)}")).alias("doc_id"), F.xxhash64(text).alias("tid"), F.col(text).alias("text"))
-    marks = _marks(rows.select("doc_id", "tid", "text"), length, gram, "first")
-    others = [c for c in own.columns if c != text]
-    both = rows.join(marks, ["doc_id", "tid"], "left").select(*others, "doc_id", "text", "marks", F.col("text").isNull().alias("was_null"))
+    marks = _marks(rows.select("doc_id", "tid", "text"), length, gram, "first", sketch_bits)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields if f.name != text)
-    done = arrow_map(both, finisher(length, True), f"{kinds}, was_null boolean, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    rows = rows.drop(text).withColumn("was_null", F.col("text").isNull())
+    done = finished(rows, marks, finisher(length, True), f"{kinds}, was_null boolean, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", "tid")
     done = done.withColumn(text, F.when(~F.col("was_null"), F.col("kept").cast("string")))
     if length_col:
         size = own.columns[names.index(length_col)]
