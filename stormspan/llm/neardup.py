@@ -188,7 +188,7 @@ def _judged(rows_in: DataFrame, threshold: float = 0.8, words: int = 5, rows: in
     classes = materialize(classes, "classes")
     banded = classes.select("rep", F.explode("bands").alias("band"))
     centres = materialize(banded.groupBy("band").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").select("band", "centre"), "centres")
-    candidates = components(banded.join(centres, "band").where("rep > centre").select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct())
+    candidates = components(banded.join(centres.hint("merge"), "band").where("rep > centre").select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct())
     counts = materialize(candidates.groupBy("component").agg(F.count("*").alias("members")), "counts")
     sized = materialize(candidates.join(counts, "component").select(F.col("node").alias("_rep"), F.col("component").alias("grp"), "members"), "candidates")
     # Sets of candidates are made where texts are read; only they are shuffled.
