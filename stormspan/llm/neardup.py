@@ -203,7 +203,8 @@ def _judged(rows_in: DataFrame, threshold: float = 0.8, words: int = 5, rows: in
     links = materialize(_links(first, threshold, margin), "links")
 
     # Classes outside the largest part of a component of several blocks, or of its buckets, against all of it.
-    large = sets.where(blocks > 1).select("row", "grp", "members")
+    wide_sets = sets.where(blocks > 1)
+    large = wide_sets.select("row", "grp", "members")
     if large.limit(1).count():
         parts = components(links.join(large.select(F.col("row").alias("u")), "u", "left_semi"))
         placed = materialize(large.join(parts, F.col("row") == F.col("node"), "left").select("row", "grp", "members", F.coalesce("component", "row").alias("cc")), "placed")
@@ -213,7 +214,7 @@ def _judged(rows_in: DataFrame, threshold: float = 0.8, words: int = 5, rows: in
         shares = cells.groupBy("grp", "cc").agg(F.count("*").alias("n"))
         main = materialize(shares.groupBy("grp").agg(F.max_by("cc", F.struct("n", "cc")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0"), "main")
         flags = cells.join(main, "grp").select(F.col("row").alias("_d"), "grp", (F.col("cc") != F.col("main")).alias("out"), "all", "outside")
-        grid = sets.select("row", "own").join(flags, F.col("row") == F.col("_d"))
+        grid = wide_sets.select("row", "own").join(flags, F.col("row") == F.col("_d"))
         strips, blocks = (F.ceil(F.col(c) / block).cast("long") for c in ("outside", "all"))
         strip, col = F.pmod(F.xxhash64("row", F.lit(1)), strips), F.pmod(F.xxhash64("row", F.lit(2)), blocks)
         outs = grid.where("out").select("row", "own", F.lit(1).alias("part"), "grp", strip.alias("_r"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("_c"))
