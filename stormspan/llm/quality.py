@@ -151,10 +151,14 @@ def fit(rows: DataFrame, labels: DataFrame, learn: Column, bits: int = BITS, ran
     drawn = F.xxhash64(F.col("doc_id"), F.lit(13))
     sample = agreed.where(F.pmod(drawn, F.lit(1_000_000)) / 1e6 < F.when(F.col("label") == 1, part[1]).otherwise(part[0]))
     known = dict(sample.orderBy(drawn, "doc_id").limit(2 * max_train).select(F.col("doc_id").alias("_key"), "label").collect())
-    keys = rows.sparkSession.createDataFrame(list(known.items()), "_key long, label int")
+    if not known:
+        machine.v[:] = 0
+        return machine
+    # As an Arrow table: a list goes through Python workers of another kind, which executors hold besides those of mapInArrow.
+    keys = rows.sparkSession.createDataFrame(pa.table({"_key": pa.array(list(known), pa.int64())}))
     # One text for each label: of rows with equal id that whose text has the smallest hash.
     one = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "length")).alias("one")
-    found = rows.join(F.broadcast(keys.select("_key")), F.col("doc_id") == F.col("_key"), "left_semi").groupBy("doc_id").agg(one).select("doc_id", "one.text", "one.length")
+    found = rows.join(F.broadcast(keys), F.col("doc_id") == F.col("_key"), "left_semi").groupBy("doc_id").agg(one).select("doc_id", "one.text", "one.length")
     got = sorted(arrow_map(found, extractor(bits), "doc_id long, ids array<int>, vals array<float>, stats array<double>").collect(), key=lambda r: (r.doc_id, r.stats))
     if not got:
         machine.v[:] = 0

@@ -176,5 +176,6 @@ def finished(rows: DataFrame, marks: DataFrame, finish: Callable[[Batches], Batc
     among = Among(marks, "doc_id", "tid")
     none: Column = F.lit(None).cast(marks.schema["marks"].dataType)
     plain = arrow_map(rows.withColumn("marks", none), lambda batches: finish(b.drop_columns(list(drop)) for b in among.chosen(batches, False)), schema)
-    met = arrow_map(rows, among.chosen, rows.schema).join(marks, ["doc_id", "tid"], "left").drop(*drop)
+    # A broadcast of few marks would put both Python evaluations into one task: twice the workers, which stay in an executor's pool.
+    met = arrow_map(rows, among.chosen, rows.schema).join(marks.hint("merge"), ["doc_id", "tid"], "left").drop(*drop)
     return plain.unionByName(arrow_map(met, finish, schema))

@@ -151,6 +151,15 @@ def test_remove_copies_keeps_columns_and_characters(spark):
     assert 0 < len(out[1].text) <= 150
 
 
+def test_finishing_runs_one_python_evaluation_a_task(spark):
+    """Few marks aren't broadcast: that would chain two evaluations, so a task would hold two workers."""
+    rows = corpus(7)
+    for out in (suffix.remove_copies(frame(spark, rows)), suffix.dedup(frame(spark, rows)), substring.dedup(frame(spark, rows))):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def jaccard_components(rows, words, percent):
     sets = {}
     for d, t in rows:

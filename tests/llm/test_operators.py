@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from stormspan.llm import decontam, langid, neighbours, quality, queries, urls, warc
@@ -357,6 +358,14 @@ def test_quality(spark):
     assert {r.doc_id for r in kept.collect()} == {d for d, s in by.items() if s >= 0.5}
 
 
+def test_quality_keys_need_no_other_workers(spark, monkeypatch):
+    """Learning passes no list through Python workers besides those of mapInArrow."""
+    docs = docs_frame(spark, [r[:2] for r in quality_rows()])
+    labels = spark.createDataFrame([(d, q) for d, _, q in quality_rows()], "doc_id long, quality int")
+    monkeypatch.setattr(RDD, "_to_java_object_rdd", None)
+    assert quality.keep_good(docs, labels, queries.fold(3) != 1).count() > 0
+
+
 def test_quality_without_labels(spark):
     docs = docs_frame(spark, [(1, "a"), (2, None)])
     labels = spark.createDataFrame([], "doc_id long, quality int")
